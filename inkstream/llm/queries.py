@@ -57,6 +57,15 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstream.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grammar = toxicity.learn(docs.where(remainder(5) != 0), labels.where(remainder(5) != 0))
+    scored = toxicity.score(docs, grammar)
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkstream.llm import decontaminate
 
@@ -69,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
     "op5_lang_id": op5_lang_id,
     "op6_url_filter": op6_url_filter,
+    "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
 }
 
