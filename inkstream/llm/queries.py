@@ -72,6 +72,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstream.llm import ann
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.pmod("vec_id", F.lit(100)) == 0))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
@@ -80,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
+    "op9_ann": op9_ann,
 }
 
 ORACLES: dict[str, str] = {
