@@ -33,6 +33,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "word_b
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstream.llm import suffix_dedup
+
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkstream.llm import mixing
 
@@ -88,6 +94,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mixing": op4_mixing,
     "op5_lang_id": op5_lang_id,
     "op6_url_filter": op6_url_filter,
