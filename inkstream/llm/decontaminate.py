@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkstream.llm.common import materialize
+
 WORD_BYTES = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 
 HITS = T.StructType([
@@ -139,6 +141,35 @@ def scan(docs: DataFrame, patterns: list[tuple[bytes, list[int]]], id_col: str =
     return keyed.mapInArrow(run, HITS)
 
 
+def pattern_blocks(items: DataFrame, window: int = 10, max_pattern_bytes: int = 64_000_000, item_col: str = "item_id", item_text_col: str = "text") -> Iterator[list[tuple[bytes, list[int]]]]:
+    """All windows with their items, in blocks of about ``max_pattern_bytes``; at least one block."""
+    windows = materialize(item_windows(items, item_col, item_text_col, window), "windows")
+    total = windows.agg(F.sum(F.length("pattern") + 8 * F.size("item_ids"))).first()[0] or 0
+    blocks = max(1, -(-int(total) // max_pattern_bytes))
+    for k in range(blocks):
+        block = windows.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k) if blocks > 1 else windows
+        yield [(bytes(r.pattern), list(r.item_ids)) for r in block.toLocalIterator()]
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, max_pattern_bytes: int = 64_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows without any hit, with all their columns; one pass for each block of patterns, no shuffle."""
+    kept, at = docs, docs.columns.index(text_col)
+    for patterns in pattern_blocks(items, window, max_pattern_bytes, item_col, item_text_col):
+        kept = kept.mapInArrow(_cleaner(docs, patterns, at), docs.schema)
+    return kept
+
+
+def _cleaner(docs: DataFrame, patterns: list[tuple[bytes, list[int]]], at: int):
+    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = build_automaton(shared.value)
+        for b in batches:
+            yield b.filter(pa.array([not scan_text(automaton, (x.as_py() or "").encode("utf-8", "replace"))[1] for x in b.column(at)], pa.bool_()))
+
+    return run
+
+
 def find_contamination(
     docs: DataFrame, items: DataFrame, window: int = 10, max_pattern_bytes: int = 64_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
@@ -148,16 +179,8 @@ def find_contamination(
     in bytes of the original text; ``item_ids`` are the sorted ids of the items
     with a window in the text.
     """
-    from inkstream.llm.common import materialize
-
-    windows = materialize(item_windows(items, item_col, item_text_col, window), "windows")
-    total = windows.agg(F.sum(F.length("pattern") + 8 * F.size("item_ids"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // max_pattern_bytes))
-    parts = []
-    for k in range(blocks):
-        block = windows.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k) if blocks > 1 else windows
-        parts.append(scan(docs, [(bytes(r.pattern), list(r.item_ids)) for r in block.toLocalIterator()], id_col, text_col))
-    if blocks == 1:
+    parts = [scan(docs, patterns, id_col, text_col) for patterns in pattern_blocks(items, window, max_pattern_bytes, item_col, item_text_col)]
+    if len(parts) == 1:
         return parts[0].drop("row_id")
     hits = parts[0]
     for p in parts[1:]:

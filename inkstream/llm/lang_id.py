@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 PREDICTED = "doc_id long, lang_pred string, score double, margin_bytes long, accepted boolean"
@@ -107,6 +108,22 @@ def identify(docs: DataFrame, dicts: list[tuple[str, bytes]], min_margin: float
     return held.mapInArrow(_runner(docs, dicts, min_margin, block_bytes), PREDICTED)
 
 
+def keep_identified(docs: DataFrame, dicts: list[tuple[str, bytes]], min_margin: float = 1.0, block_bytes: int = 4096, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The accepted rows with all their columns, ``lang`` set to the language predicted; one pass, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(dicts)
+    at = docs.columns.index(text_col)
+    schema = StructType([StructField(f.name, StringType()) if f.name == lang_col else f for f in docs.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Classifier(shared.value, block_bytes)
+        for b in batches:
+            got = [c.predict(x.as_py(), min_margin) for x in b.column(at)]
+            cols = [pa.array([g[0] for g in got], pa.string()) if name == lang_col else b.column(k) for k, name in enumerate(b.schema.names)]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(pa.array([g[3] for g in got], pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def _runner(docs: DataFrame, dicts: list[tuple[str, bytes]], min_margin: float, block_bytes: int):
     shared = docs.sparkSession.sparkContext.broadcast(dicts)
 

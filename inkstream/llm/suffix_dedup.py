@@ -392,6 +392,16 @@ def resolve(runs: list[tuple[np.ndarray, ...]], length: int) -> list[np.ndarray]
     return [mask[a:z] for a, z in bounds]
 
 
+def whole_characters(kept: F.Column) -> F.Column:
+    """Bytes to text; parts of characters at the edges of removed spans are dropped."""
+
+    @F.pandas_udf("string")
+    def decode(s):
+        return s.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return decode(kept)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
