@@ -177,7 +177,11 @@ def forest_edges(nodes: DataFrame, levels: list[int]) -> DataFrame:
         edges = joined.where("leader is not null and node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
         found = edges if found is None else found.union(edges)
         rows = joined.where("leader is null or node = leader").drop("leader")
-    return found.distinct()
+    # all leaders of a node (two for each tree at most) hang on the smallest, so that each node keeps one edge
+    stars = found.groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("all"))
+    stars = materialize(stars, "stars")
+    others = stars.where(F.size("all") > 1).select(F.explode(F.array_remove("all", F.col("least"))).alias("a"), F.col("least").alias("b"))
+    return stars.select("a", F.col("least").alias("b")).union(others.distinct())
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -250,7 +254,7 @@ def verified_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
     blocks = F.greatest(F.ceil(F.col("m") / block_nodes), F.ceil(F.col("w") / block_shingles)).cast("int")
     dealt = members.join(sizes.where("m > 1").select("comp", blocks.alias("blocks")), "comp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text"))
-    rows = dealt.join(texts, "node").select("comp", "own", "node", "h1", "h2", "copies", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = dealt.hint("merge").join(texts, "node").select("comp", "own", "node", "h1", "h2", "copies", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "h1", "h2", "copies", "text")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = rows.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
@@ -297,7 +301,7 @@ def verified_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: Fraction = Fraction(4, 5), shingle: int = 5, trees: int = 20, depth: int = 6, recall: float = 0.9999, block_nodes: int = 1500, block_shingles: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, threshold: Fraction = Fraction(4, 5), shingle: int = 5, trees: int = 20, depth: int = 6, recall: float = 0.9999, block_nodes: int = 500, block_shingles: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row: ``doc_id, class_id, n_links``.
 
