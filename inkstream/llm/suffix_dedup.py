@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from inkstream.llm.common import materialize
 
 K = 24
-CHUNK = 1 << 19
+CHUNK = 1 << 16
 NO_ID = np.iinfo(np.int64).max
 BASE = 0x9E3779B97F4A7C15
 BLOCK = "block long, ids binary, sizes binary, nulls binary, data binary, n_bytes long"
@@ -413,17 +413,15 @@ def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 50, keep_text: bool = False, block_bytes: int = 8_000_000, bucket_anchors: int = 4_000_000, part_suffixes: int = 150_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = 50, keep_text: bool = False, block_bytes: int = 6_000_000, bucket_anchors: int = 4_000_000, part_suffixes: int = 150_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` (flattened [from, to) pairs in bytes) and ``kept`` (bytes, if asked for)."""
     if not K < length < 256 or length - K > 31:
         raise ValueError(f"length must be from {K + 1} to {K + 31}")
     spark = docs.sparkSession
     blocks = materialize(pack_blocks(docs, id_col, text_col, block_bytes), "blocks")
-    n_blocks, total = blocks.agg(F.count("*"), F.sum("n_bytes")).first()
-    total = total or 0
+    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(1, min(shuffles * 4, n_blocks), n_blocks // 8)
     n_buckets = max(1, -(-int(total * 2 / (length - K + 2)) // bucket_anchors))
 
     def list_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -510,7 +508,7 @@ def remove_repeats(
         with np.errstate(over="ignore"):
             for row in _rows(batches):
                 block = Block(row, length)
-                cover = np.zeros(len(block.data) + 1, np.int32)
+                hit = np.zeros(len(block.data), bool)  # starts of strings that a smaller document holds
                 if row["answers"]:
                     c = block.contexts(block.shared(n_buckets, [(a["bucket"], a["bits"]) for a in row["answers"]]))
                     mask = np.zeros(len(c.rank), np.uint32)
@@ -524,10 +522,12 @@ def remove_repeats(
                     own[c.doc_rank > c.rank[c.context]] = 0xFFFFFFFF  # the block itself holds the context in a smaller document
                     for o in range(length - K + 1):
                         p = at - o
-                        hit = p[((own >> np.uint32(o)) & np.uint32(1) == 1) & (p >= first) & (p <= last)]
-                        np.add.at(cover, hit, 1)
-                        np.add.at(cover, hit + length, -1)
-                gone = np.cumsum(cover[:-1]) > 0
+                        hit[p[((own >> np.uint32(o)) & np.uint32(1) == 1) & (p >= first) & (p <= last)]] = True
+                starts = np.flatnonzero(hit)
+                cover = np.zeros(len(block.data) + 1, np.int8)
+                cover[starts] = 1
+                cover[starts + length] -= 1
+                gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
                 ends = np.cumsum(block.sizes)
                 raw = np.frombuffer(block.data, np.uint8)
                 out, size = [], 0
@@ -547,8 +547,7 @@ def remove_repeats(
                 if out:
                     yield _batch(out, fields)
 
-    with_answers = deal.join(answers, "block").repartition(tasks, "block")
-    runs = with_answers.mapInArrow(send_runs, "part long, block long, run binary")
+    runs = deal.join(answers, "block").mapInArrow(send_runs, "part long, block long, run binary")
     masks = materialize(runs.repartition(max(1, min(parts, max(shuffles, parts // 4))), "part").sortWithinPartitions("part", "block").mapInArrow(merge_runs, "block long, part long, masks binary"), "masks")
     found = masks.groupBy("block").agg(F.collect_list(F.struct("part", "masks")).alias("found"))
     final = deal.join(answers, "block", "left").join(found, "block", "left")
