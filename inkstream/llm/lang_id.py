@@ -36,19 +36,24 @@ def letters(text: str) -> bytes:
     return NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 
-def sample_by_class(rows: DataFrame, class_col: str, key: str, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows of each class, those of smallest hash, without sorting a whole class."""
-    h = F.xxhash64(F.lit(29), F.col(key).cast("string"))
-    counts = rows.groupBy(class_col).agg(F.count("*").alias("_n"))
-    near = rows.join(counts, class_col).withColumn("_h", h).where(F.col("_h").cast("double") / F.lit(2.0**63) < F.lit(-1.0) + F.lit(3.0 * per_class) / F.col("_n"))
-    return near.withColumn("_r", F.row_number().over(Window.partitionBy(class_col).orderBy("_h"))).where(F.col("_r") <= per_class).drop("_n", "_h", "_r")
+def sample_by_class(rows: DataFrame, class_col: str, key: str, per_class: int, counts: dict) -> DataFrame:
+    """At most ``per_class`` rows of each class in ``counts`` (class to number of rows), those of smallest hash.
+
+    The share of hashes that can be among them is known from the counts, so all but
+    about ``1.5 * per_class`` rows of a class are filtered out before any exchange.
+    """
+    if not counts:
+        return rows.where(F.lit(False))
+    share = F.element_at(F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, 3.0 * per_class / n)]), F.col(class_col))
+    near = rows.withColumn("_h", F.xxhash64(F.lit(29), F.col(key).cast("string"))).where(F.col("_h").cast("double") / F.lit(2.0**63) < F.lit(-1.0) + share)
+    return near.withColumn("_r", F.row_number().over(Window.partitionBy(class_col).orderBy("_h"))).where(F.col("_r") <= per_class).drop("_h", "_r")
 
 
 def learn(docs: DataFrame, docs_per_lang: int = 400, dict_bytes: int = 131072, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
     """(language, dictionary) pairs, most frequent language first."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).toLocalIterator()}
-    chosen = sample_by_class(rows.select("id", "lang"), "lang", "id", docs_per_lang)
+    chosen = sample_by_class(rows.select("id", "lang"), "lang", "id", docs_per_lang, counts)
     each = dict_bytes // 64
     texts = F.broadcast(chosen.distinct()) if len(counts) * docs_per_lang <= 1_000_000 else chosen.distinct()
     found: dict[str, list[tuple[int, bytes]]] = {}
