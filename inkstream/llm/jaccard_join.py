@@ -79,10 +79,9 @@ def shingle_sets(texts: list[bytes | None], shingle: int = 5) -> list[np.ndarray
         starts = np.concatenate(([0], ends[:-1] + 1))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw.astype(np.uint64) * up[: len(raw)], dtype=np.uint64)))
         words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        n = len(words)
-        rolled = np.zeros(max(0, n - shingle + 1), np.uint64)
+        rolled = np.zeros(max(0, len(words) - shingle + 1), np.uint64)
         for k in range(shingle):
-            rolled += words[k : n - shingle + 1 + k] * np.uint64((0xD1342543DE82EF95 * (2 * k + 1)) & MASK)
+            rolled += words[k : k + len(rolled)] * np.uint64((0xD1342543DE82EF95 * (2 * k + 1)) & MASK)
         rolled = mix(rolled)
         first = 0
         for i, line in zip(at, lines, strict=True):
