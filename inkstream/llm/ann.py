@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstream.llm.common import tidy
+
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -206,4 +208,4 @@ def _one_block(index: DataFrame, asked: DataFrame, k: int, trees: int, leaf: int
         for n in list(held):
             yield flush(n)
 
-    return index.mapInArrow(run, FOUND)
+    return index.mapInArrow(tidy(run), FOUND)

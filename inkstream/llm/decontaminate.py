@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkstream.llm.common import materialize
+from inkstream.llm.common import materialize, text_batches, tidy
 
 WORD_BYTES = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 
@@ -73,7 +73,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
                     patterns.append(p)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(patterns, pa.binary())], ["item_id", "pattern"])
 
-    cut_up = items.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(cut, "item_id long, pattern binary")
+    cut_up = items.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(tidy(cut), "item_id long, pattern binary")
     return cut_up.groupBy("pattern").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
 
 
@@ -114,6 +114,7 @@ def scan_text(automaton, text: bytes) -> tuple[int, list[tuple[int, int]], set[i
 
 def scan(docs: DataFrame, patterns: list[tuple[bytes, list[int]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scan every whole text once with the automaton of the given patterns."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(patterns)
     built: dict[int, object] = {}
 
@@ -138,7 +139,7 @@ def scan(docs: DataFrame, patterns: list[tuple[bytes, list[int]]], id_col: str =
             )
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
-    return keyed.mapInArrow(run, HITS)
+    return keyed.mapInArrow(tidy(run), HITS)
 
 
 def pattern_blocks(items: DataFrame, window: int = 10, max_pattern_bytes: int = 64_000_000, item_col: str = "item_id", item_text_col: str = "text") -> Iterator[list[tuple[bytes, list[int]]]]:
@@ -155,11 +156,12 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, max_pattern_
     """The rows without any hit, with all their columns; one pass for each block of patterns, no shuffle."""
     kept, at = docs, docs.columns.index(text_col)
     for patterns in pattern_blocks(items, window, max_pattern_bytes, item_col, item_text_col):
-        kept = kept.mapInArrow(_cleaner(docs, patterns, at), docs.schema)
+        kept = kept.mapInArrow(tidy(_cleaner(docs, patterns, at)), docs.schema)
     return kept
 
 
 def _cleaner(docs: DataFrame, patterns: list[tuple[bytes, list[int]]], at: int):
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import drop_scratch, materialize
+from inkstream.llm.common import drop_scratch, materialize, text_batches, tidy
 from inkstream.llm.graph import components
 
 WORD_BYTES = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 SIGNED = "doc_id long, h1 long, h2 long, n_shingles int, prefixes array<array<long>>"
 
 
@@ -157,7 +157,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, trees:
                     prefixes.append([mix(running[:, d - 1]).astype(np.int64).tolist() for d in levels])
             yield pa.record_batch([b.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32()), pa.array(prefixes, pa.list_(pa.list_(pa.int64())))], ["doc_id", "h1", "h2", "n_shingles", "prefixes"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, SIGNED)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(tidy(run), SIGNED)
 
 
 def forest_edges(nodes: DataFrame, levels: list[int]) -> DataFrame:
@@ -296,7 +296,7 @@ def verified_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
         if out:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["node", "links", "root"])
 
-    return ordered.mapInArrow(run, "node long, links long, root long")
+    return ordered.mapInArrow(tidy(run), "node long, links long, root long")
 
 
 def near_duplicates(
@@ -308,6 +308,7 @@ def near_duplicates(
     number of other rows whose similarity is at least the threshold, copies included.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     levels = depths(trees, depth, threshold, recall)
     signed = materialize(signatures(docs, id_col, text_col, shingle, trees, depth, levels), "signatures")
     known = signed.where("doc_id is not null and h1 is not null")

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from inkstream.llm.common import text_batches, tidy
+
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 PREDICTED = "doc_id long, lang_pred string, score double, margin_bytes long, accepted boolean"
 
@@ -109,12 +111,14 @@ def identify(docs: DataFrame, dicts: list[tuple[str, bytes]], min_margin: float
 
     ``min_margin`` is the least gap to the runner-up in bytes per block.
     """
+    text_batches(docs.sparkSession)
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return held.mapInArrow(_runner(docs, dicts, min_margin, block_bytes), PREDICTED)
+    return held.mapInArrow(tidy(_runner(docs, dicts, min_margin, block_bytes)), PREDICTED)
 
 
 def keep_identified(docs: DataFrame, dicts: list[tuple[str, bytes]], min_margin: float = 1.0, block_bytes: int = 4096, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The accepted rows with all their columns, ``lang`` set to the language predicted; one pass, no shuffle."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dicts)
     at = docs.columns.index(text_col)
     schema = StructType([StructField(f.name, StringType()) if f.name == lang_col else f for f in docs.schema])
@@ -126,7 +130,7 @@ def keep_identified(docs: DataFrame, dicts: list[tuple[str, bytes]], min_margin:
             cols = [pa.array([g[0] for g in got], pa.string()) if name == lang_col else b.column(k) for k, name in enumerate(b.schema.names)]
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(pa.array([g[3] for g in got], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _runner(docs: DataFrame, dicts: list[tuple[str, bytes]], min_margin: float, block_bytes: int):

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import materialize
+from inkstream.llm.common import materialize, text_batches, tidy
 
 K = 24
 CHUNK = 1 << 16
@@ -152,7 +152,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -
         if ids:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, BLOCK)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(tidy(run), BLOCK)
 
 
 class Block:
@@ -207,14 +207,15 @@ class Contexts:
     def __init__(self, block: Block, chosen: np.ndarray) -> None:
         length, reach = block.length, block.length - K
         at, first, last = block.at[chosen], block.first[chosen], block.last[chosen]
-        raw = np.frombuffer(block.data + bytes(length), np.uint8)
+        view = np.lib.stride_tricks.sliding_window_view
+        raw = np.frombuffer(bytes(reach) + block.data + bytes(length), np.uint8)
         # right: bytes from the anchor to the end of its last string; left: bytes before it, from its first string on
         right_size, left_size = last + length - at, at - first
-        right = raw[at[:, None] + np.arange(length)] * (np.arange(length) < right_size[:, None])
-        left = raw[np.maximum(0, at[:, None] - reach + np.arange(reach))] * (np.arange(reach) >= reach - left_size[:, None])
         sizes = np.stack([right_size, left_size], 1).astype(np.uint8)
+        right = view(raw[reach:], length)[at] * (np.arange(length, dtype=np.uint8) < sizes[:, :1])
+        left = view(raw, reach)[at] * (np.arange(reach, 0, -1, dtype=np.uint8) <= sizes[:, 1:])
         rank = block.rank[block.doc[chosen]]
-        rows = np.ascontiguousarray(np.concatenate([right.astype(np.uint8), left.astype(np.uint8), sizes], 1))
+        rows = np.concatenate([right, left, sizes], 1)
         keyed = rows.view(f"V{rows.shape[1]}").ravel() if len(rows) else np.zeros(0, "V1")
         order = np.lexsort((rank, *(_big_endian(rows, c) for c in range((rows.shape[1] + 7) // 8 - 1, -1, -1)))) if len(rows) else np.zeros(0, np.int64)
         keyed, rank = keyed[order], rank[order]
@@ -419,6 +420,7 @@ def remove_repeats(
     if not K < length < 256 or length - K > 31:
         raise ValueError(f"length must be from {K + 1} to {K + 31}")
     spark = docs.sparkSession
+    text_batches(spark)
     blocks = materialize(pack_blocks(docs, id_col, text_col, block_bytes), "blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -464,8 +466,8 @@ def remove_repeats(
             yield close(held)
 
     deal = blocks.select("block", "ids", "sizes", "nulls", "data")
-    listed = deal.mapInArrow(list_hashes, "bucket long, block long, listed binary, two binary")
-    shared = materialize(listed.repartition(max(1, min(n_buckets, max(shuffles, n_buckets // 4))), "bucket").sortWithinPartitions("bucket").mapInArrow(find_shared, "block long, bucket long, bits binary, n long"), "shared")
+    listed = deal.mapInArrow(tidy(list_hashes), "bucket long, block long, listed binary, two binary")
+    shared = materialize(listed.repartition(max(1, min(n_buckets, max(shuffles, n_buckets // 4))), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(find_shared), "block long, bucket long, bits binary, n long"), "shared")
     answers = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
     n_shared = shared.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-int(n_shared) // part_suffixes))
@@ -547,8 +549,8 @@ def remove_repeats(
                 if out:
                     yield _batch(out, fields)
 
-    runs = deal.join(answers, "block").mapInArrow(send_runs, "part long, block long, run binary")
-    masks = materialize(runs.repartition(max(1, min(parts, max(shuffles, parts // 4))), "part").sortWithinPartitions("part", "block").mapInArrow(merge_runs, "block long, part long, masks binary"), "masks")
+    runs = deal.join(answers, "block").mapInArrow(tidy(send_runs), "part long, block long, run binary")
+    masks = materialize(runs.repartition(max(1, min(parts, max(shuffles, parts // 4))), "part").sortWithinPartitions("part", "block").mapInArrow(tidy(merge_runs), "block long, part long, masks binary"), "masks")
     found = masks.groupBy("block").agg(F.collect_list(F.struct("part", "masks")).alias("found"))
     final = deal.join(answers, "block", "left").join(found, "block", "left")
-    return final.mapInArrow(apply, REMOVED)
+    return final.mapInArrow(tidy(apply), REMOVED)

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkstream.llm.common import text_batches, tidy
+
 CACHE_WORDS = 1_000_000
 COUNTED = "doc_id long, n_bytes long, n_tokens long"
 END = "</w>"
@@ -221,6 +223,7 @@ def count_tokens(docs: DataFrame, path: str, store_prefixes: bool = False, id_co
 
     ``path`` is the vocabulary file, at the same place on every executor.
     """
+    text_batches(docs.sparkSession)
     schema = COUNTED + (", prefix_tokens array<int>" if store_prefixes else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,4 +238,4 @@ def count_tokens(docs: DataFrame, path: str, store_prefixes: bool = False, id_co
             else:
                 yield pa.record_batch([b.column(0), sizes, pa.array([c.count(t) for t in texts], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkstream.llm.common import text_batches, tidy
 from inkstream.llm.lang_id import sample_by_class
 
 # Seed words of the lexical transducer, for English, French, German and Spanish.
@@ -166,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, min_gain: f
             yield pa.record_batch([pa.array(keys, pa.string()), pa.array(ys, pa.int32())], ["key", "y"])
 
     base = toxic / (toxic + clean)
-    counted = rows.select("text", "y").mapInArrow(spell, "key string, y int").groupBy("key").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    counted = rows.select("text", "y").mapInArrow(tidy(spell), "key string, y int").groupBy("key").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     kept = counted.where((F.col("t") >= 3) & (F.col("t") / (F.col("t") + F.col("c")) >= max(min_share, base))).orderBy(F.desc("t"), "key").limit(max_lexicon)
     strong = [r for r in kept.collect() if _gain(r.t, r.c, toxic, clean) >= min_gain]
     grammar.words |= {r.key: INSULT for r in strong if not r.key.endswith("*")}
@@ -179,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, min_gain: f
             seen = [grammar.patterns(t).tolist() for t in b.column(0).to_pylist()]
             yield pa.record_batch([pa.array(seen, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
-    seen = rows.select("text", "y").mapInArrow(observe, "x array<double>, y int").groupBy("x", "y").agg(F.count("*").alias("n")).collect()
+    seen = rows.select("text", "y").mapInArrow(tidy(observe), "x array<double>, y int").groupBy("x", "y").agg(F.count("*").alias("n")).collect()
     x = np.repeat(np.array([r.x for r in seen]), [r.n for r in seen], axis=0)
     y = np.repeat(np.array([r.y for r in seen], float), [r.n for r in seen])
     grammar.weights = fit_weights(x, y)
@@ -188,6 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, min_gain: f
 
 def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, score`` in 0 to 1."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,4 +207,4 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
                     out.append(base)
             yield pa.record_batch([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCORED)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), SCORED)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import materialize, utf8
+from inkstream.llm.common import materialize, text_batches, tidy, utf8
 
 SKIPPABLE = 0x184D2A5D
 DICT_MAGIC = b"\x37\xa4\x30\xec"
@@ -144,6 +144,7 @@ def write_archives(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, archive_bytes: int = 32_000_000, level: int = 3, dict_bytes: int = 65536, sample_bytes: int = 2_000_000, date: str = "2024-01-01T00:00:00Z"
 ) -> DataFrame:
     """Write all rows as ``.warc.zst`` files; returns the manifest: path, records, bytes."""
+    text_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), utf8(payload_col).alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     refs = revisits(rows.select("page_id", "digest", F.length("payload").alias("n")), min_revisit_bytes)
@@ -182,7 +183,7 @@ def write_archives(
             flush()
         yield pa.record_batch([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
-    return materialize(ready.mapInArrow(write, MANIFEST), "warc-manifest")
+    return materialize(ready.mapInArrow(tidy(write), MANIFEST), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -209,4 +210,4 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     n = max(1, manifest.count())
-    return manifest.select("path").repartition(min(n, 100_000)).mapInArrow(read, RECORDS)
+    return manifest.select("path").repartition(min(n, 100_000)).mapInArrow(tidy(read), RECORDS)
