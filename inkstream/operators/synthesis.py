@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from inkstream.fixed import MOCK_WORDS_PER_SECOND, SAMPLE_RATE
 from inkstream.functions import text as T
-from inkstream.functions.dsp import ms_to_samples
+from inkstream.functions.dsp import ms_to_samples, trim
 from inkstream.operators.engines import Engine
 
-AUDIO = "key string, pcm binary, error string"
+AUDIO = "key string, pcm binary, n_samples int, error string"
 
 
 def content_key(engine_name: str) -> Column:
@@ -39,7 +39,7 @@ def mock_samples(words: Column) -> Column:
 
 
 def speak(chunks: DataFrame, engine: Engine, cache: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
-    """New rows for the cache: ``key, pcm, error``; each distinct sound is made once. Failures become silence with the error told."""
+    """New rows for the cache: ``key, pcm, n_samples`` (after trimming), ``error``; each distinct sound is made once. Failures become silence with the error told."""
     work = chunks.where(~is_silent()).withColumn("key", cache_key(engine.name)).select("key", "text", "chunk_type", "character", "voice", "ssml_rate", "ssml_pitch", "pause_after_ms")
     work = work.groupBy("key").agg(*[F.first(c).alias(c) for c in work.columns if c not in ("key", "pause_after_ms")], F.max("pause_after_ms").alias("pause_after_ms"))
     if cache is not None:
@@ -49,7 +49,7 @@ def speak(chunks: DataFrame, engine: Engine, cache: DataFrame | None = None, par
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, sounds, errors = [], [], []
+            keys, sounds, lengths, errors = [], [], [], []
             for row in pdf.to_dict("records"):
                 try:
                     pcm, error = np.asarray(engine.speak(row), "<i2").tobytes(), None
@@ -57,14 +57,22 @@ def speak(chunks: DataFrame, engine: Engine, cache: DataFrame | None = None, par
                     pcm, error = bytes(2 * int(max(500, row["pause_after_ms"]) / 1000.0 * SAMPLE_RATE)), str(e)
                 keys.append(row["key"])
                 sounds.append(pcm)
+                lengths.append(len(trim(np.frombuffer(pcm, "<i2"))))
                 errors.append(error)
-            yield pd.DataFrame({"key": keys, "pcm": sounds, "error": errors})
+            yield pd.DataFrame({"key": keys, "pcm": sounds, "n_samples": lengths, "error": errors})
 
     return work.mapInPandas(run, AUDIO)
 
 
+def with_lengths(chunks: DataFrame, engine: Engine, cache: DataFrame) -> DataFrame:
+    """Adds ``n_samples`` after trimming (null if the sound is missing, 0 for silence); no audio moves."""
+    keyed = chunks.withColumn("key", F.when(~is_silent(), cache_key(engine.name)))
+    joined = keyed.join(cache.select("key", "n_samples"), "key", "left")
+    return joined.withColumn("n_samples", F.when(is_silent(), 0).otherwise(F.col("n_samples"))).drop("key")
+
+
 def with_audio(chunks: DataFrame, engine: Engine, cache: DataFrame) -> DataFrame:
     """Adds ``pcm`` (null if missing) and ``error``; silent chunks get silence of their pause."""
     keyed = chunks.withColumn("key", F.when(~is_silent(), cache_key(engine.name)))
     zeros = F.unhex(F.repeat(F.lit("0000"), ms_to_samples(F.col("pause_after_ms"))))
-    return keyed.join(cache, "key", "left").withColumn("pcm", F.when(is_silent(), zeros).otherwise(F.col("pcm"))).drop("key")
+    return keyed.join(cache.select("key", "pcm", "error"), "key", "left").withColumn("pcm", F.when(is_silent(), zeros).otherwise(F.col("pcm"))).drop("key")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import base64
 import os
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream import fixed
 from inkstream.functions import text as T
-from inkstream.functions.dsp import trim_pcm
+from inkstream.functions.dsp import to_wav
 from inkstream.operators import attribution, casting, chapters, chunks, prosody, sinks, synthesis, timeline
 from inkstream.operators.cast_spec import Member, read_cast
 from inkstream.operators.engines import engine
@@ -89,18 +91,22 @@ class Pipeline:
         return Result(documents, parts, cut, attributed, people, edges, voices, delivered)
 
     def render(self, documents: DataFrame, cache: DataFrame | None = None) -> Result:
-        """With audio: what the cache lacks is spoken and placed on the timeline."""
+        """With audio: what the cache lacks is spoken and placed on the timeline. Offsets need lengths only, so audio stays where it is."""
         c = self.config
         r = self.analyse(documents)
         speaker = engine(c.backend, **c.engine_options)
         fresh = synthesis.speak(r.delivered, speaker, cache, c.synthesis_partitions)
         r.audio = fresh if cache is None else cache.unionByName(fresh)
-        sounding = synthesis.with_audio(r.delivered, speaker, r.audio)
-        measured = sounding.withColumn("n_samples", (F.length(trim_pcm("pcm")) / 2).cast("int"))
-        r.placed = timeline.place(measured, c.crossfade_ms)
+        r.placed = timeline.place(synthesis.with_lengths(r.delivered, speaker, r.audio), c.crossfade_ms)
         r.marks = timeline.chapter_marks(r.placed, r.chapters)
         return r
 
+    def assemble(self, r: Result) -> tuple[np.ndarray, int]:
+        """The signal of a rendered document, on the driver, and its number of chunks."""
+        sounding = synthesis.with_audio(r.delivered, engine(self.config.backend, **self.config.engine_options), r.audio)
+        rows = sounding.orderBy("seq").select("pcm", "pause_after_ms").collect()
+        return timeline.assemble([None if x.pcm is None else bytes(x.pcm) for x in rows], [x.pause_after_ms for x in rows], self.config.crossfade_ms), len(rows)
+
     def run(self, spark: SparkSession, target: str, output_path: str | None = None, cache_path: str | None = None) -> dict:
         """One manuscript to files: audio, player, and a report. Only this document's audio reaches the driver."""
         documents = manuscripts.route(spark, target)
@@ -113,8 +119,7 @@ class Pipeline:
             cache = spark.read.schema(synthesis.AUDIO).parquet(cache_path)
             r = self.render(documents, cache)
         doc = documents.select("doc_id", "title", "author", T.slug(F.col("title")).alias("slug")).first()
-        rows = r.placed.orderBy("seq").select("pcm", "pause_after_ms").collect()
-        signal = timeline.assemble([None if x.pcm is None else bytes(x.pcm) for x in rows], [x.pause_after_ms for x in rows], self.config.crossfade_ms)
+        signal, n_chunks = self.assemble(r)
         marks = [m.asDict() for m in r.marks.orderBy("ord").collect()]
         path = output_path or f"{doc.slug}.{self.config.audio_format}"
         meta = sinks.ffmetadata(r.marks, documents).first()
@@ -122,7 +127,7 @@ class Pipeline:
         player = None
         if self.config.generate_player:
             player = sinks.write_player(f"{os.path.splitext(path)[0]}_player.html", doc.title, doc.author, os.path.basename(audio), marks)
-        return {"audio_path": audio, "player_path": player, "duration_seconds": len(signal) / fixed.SAMPLE_RATE, "total_chunks": len(rows), "marks": marks, "result": r}
+        return {"audio_path": audio, "player_path": player, "duration_seconds": len(signal) / fixed.SAMPLE_RATE, "total_chunks": n_chunks, "marks": marks, "result": r}
 
 
 def inspect(chapter_rows: DataFrame) -> DataFrame:
@@ -133,12 +138,8 @@ def inspect(chapter_rows: DataFrame) -> DataFrame:
 def preview(spark: SparkSession, payload: dict, words: int = 150) -> dict:
     """A short excerpt of a request's text, spoken, as a data URI with its characters and voices."""
     config = Config(backend=payload.get("backend", "mock"), voice=payload.get("voice") or "en-US-ChristopherNeural", dialogue_voice=payload.get("dialogue_voice"), characters=payload.get("characters") or payload.get("cast"), speed=float(payload.get("speed", 1.0)), audition=True, audition_words=words)
-    r = Pipeline(config).render(manuscripts.from_payload(spark, payload))
-    rows = r.placed.orderBy("seq").select("pcm", "pause_after_ms").collect()
-    signal = timeline.assemble([None if x.pcm is None else bytes(x.pcm) for x in rows], [x.pause_after_ms for x in rows])
-    import base64
-
-    from inkstream.functions.dsp import to_wav
-
+    p = Pipeline(config)
+    r = p.render(manuscripts.from_payload(spark, payload))
+    signal, n_chunks = p.assemble(r)
     people = [c.asDict() for c in r.characters.orderBy("name").collect()]
-    return {"audio": "data:audio/wav;base64," + base64.b64encode(to_wav(signal)).decode(), "characters": people, "voice_map": {v.role: v.voice for v in r.voice_map.collect()}, "total_chunks": len(rows)}
+    return {"audio": "data:audio/wav;base64," + base64.b64encode(to_wav(signal)).decode(), "characters": people, "voice_map": {v.role: v.voice for v in r.voice_map.collect()}, "total_chunks": n_chunks}
