@@ -1,4 +1,4 @@
-"""From manuscripts to timelines: the stages composed; nothing runs until an action."""
+"""From manuscripts to timelines: the stages composed. Attribution is run when planned and kept; all else waits for an action."""
 
 from __future__ import annotations
 
@@ -67,6 +67,11 @@ class Result:
     marks: DataFrame | None = None
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """The rows written to the cluster's checkpoint folder, where one is set: later branches read them instead of folding again."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 class Pipeline:
     """Plans the stages over any number of manuscripts."""
 
@@ -80,7 +85,7 @@ class Pipeline:
         if c.audition:
             parts = chapters.audition_excerpt(parts, c.audition_words)
         cut = chunks.with_sequence(chunks.chunk_chapters(parts))
-        attributed = attribution.attribute(cut, c.members())
+        attributed = settle(attribution.attribute(cut, c.members()))
         people = attribution.characters(attributed, c.members())
         voices = casting.cast_voices(people, c.backend, c.voice)
         roles = voices.select("doc_id", F.col("role").alias("character"), F.col("voice").alias("cast_voice"))
