@@ -204,12 +204,15 @@ def neighbours(edges: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def characters(attributed: DataFrame, cast: list[Member] | None = None, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, name, gender, line_count, assigned_voice, aliases, interacts_with``: cast members first, then whoever spoke."""
-    spark = attributed.sparkSession
     lines = spoken_lines(attributed)
     heard = lines.groupBy(id_col, F.col("character").alias("name")).agg(F.count("*").alias("line_count"), F.min_by("gender", F.when(F.col("gender") != UNKNOWN, F.col("seq"))).alias("heard_gender"))
-    members = spark.createDataFrame([(m.name, m.gender, m.voice, list(m.aliases)) for m in cast or []], "name string, own_gender string, assigned_voice string, aliases array<string>")
-    given = attributed.select(id_col).distinct().crossJoin(F.broadcast(members))  # the cast is a short parameter
-    merged = heard.join(given, [id_col, "name"], "full_outer").join(neighbours(interactions(lines, id_col), id_col), [id_col, "name"], "left")
+    if cast:
+        member = lambda m: F.struct(F.lit(m.name).alias("name"), F.lit(m.gender).alias("own_gender"), F.lit(m.voice).cast("string").alias("assigned_voice"), F.array(*map(F.lit, m.aliases)).cast("array<string>").alias("aliases"))
+        given = attributed.select(id_col).distinct().select(id_col, F.inline(F.array(*map(member, cast))))
+        heard = heard.join(given, [id_col, "name"], "full_outer")
+    else:
+        heard = heard.withColumns({"own_gender": F.lit(None).cast("string"), "assigned_voice": F.lit(None).cast("string"), "aliases": F.lit(None).cast("array<string>")})
+    merged = heard.join(neighbours(interactions(lines, id_col), id_col), [id_col, "name"], "left")
     gender = F.coalesce(F.nullif(F.col("own_gender"), F.lit(UNKNOWN)), F.col("heard_gender"), F.lit(UNKNOWN))
     return merged.select(
         id_col, "name", gender.alias("gender"), F.coalesce("line_count", F.lit(0).cast("long")).alias("line_count"), "assigned_voice",
