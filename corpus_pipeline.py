@@ -31,12 +31,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller id holds are cut out; documents of which nothing is left go."""
-    kept = suffix_dedup.remove_repeats(docs, keep_text=True).where("n_removed > 0").select("doc_id", suffix_dedup.whole_characters(F.col("kept")).alias("kept"))
-    text = F.coalesce("kept", "text")
-    cut = docs.select(COLUMNS).join(kept, "doc_id", "left")
-    changed = F.col("kept").isNotNull()
-    cut = cut.select("doc_id", text.alias("text"), "lang", "source", F.when(changed, F.char_length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), changed.alias("changed"))
-    return cut.where(~F.col("changed") | F.col("text").rlike(r"\S")).select(COLUMNS)
+    cut = suffix_dedup.remove_repeats(docs.select(COLUMNS), keep_text=True, carry=("lang", "source", "n_chars"))
+    changed = F.col("n_removed") > 0
+    left = cut.where(~changed | F.col("kept").rlike(r"\S"))
+    return left.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.when(changed, F.char_length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

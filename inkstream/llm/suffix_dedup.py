@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from inkstream.llm.common import materialize, text_batches, tidy
 
@@ -47,8 +48,8 @@ K = 24
 CHUNK = 1 << 16
 NO_ID = np.iinfo(np.int64).max
 BASE = 0x9E3779B97F4A7C15
-BLOCK = "block long, ids binary, sizes binary, nulls binary, data binary, n_bytes long"
-REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary"
+BLOCK = "block long, ids binary, sizes binary, nulls binary, data binary, n_bytes long, carried binary"
+REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept string"
 
 
 def _zip(a: np.ndarray | bytes) -> bytes:
@@ -121,38 +122,54 @@ def anchors(data: bytes, sizes: np.ndarray, length: int) -> tuple[np.ndarray, ..
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """Texts end to end in compressed blocks."""
+def _carry(pieces: list[pa.RecordBatch]) -> bytes:
+    """Rows of other columns, as one compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pieces[0].schema) as w:
+        for p in pieces:
+            w.write_batch(p)
+    return _zip(sink.getvalue().to_pybytes())
+
+
+def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Texts end to end in compressed blocks, other columns beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
         ids: list[int | None] = []
         texts: list[bytes] = []
+        others: list[pa.RecordBatch] = []
         size = n = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal size, n
             row = (
-                base + n, _zip(np.array([0 if i is None else i for i in ids], np.int64)), _zip(np.array([len(t) for t in texts], np.int64)), np.array([i is None for i in ids], np.uint8).tobytes(), _zip(b"".join(texts)), size,
+                base + n, _zip(np.array([0 if i is None else i for i in ids], np.int64)), _zip(np.array([len(t) for t in texts], np.int64)), np.array([i is None for i in ids], np.uint8).tobytes(), _zip(b"".join(texts)), size, _carry(others) if carry else b"",
             )
-            ids.clear()
-            texts.clear()
+            for held in (ids, texts, others):
+                held.clear()
             size, n = 0, n + 1
-            types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-            return pa.record_batch([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["block", "ids", "sizes", "nulls", "data", "n_bytes"])
+            types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+            return pa.record_batch([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["block", "ids", "sizes", "nulls", "data", "n_bytes", "carried"])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            rest, done = b.select(list(range(2, b.num_columns))), 0
+            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
                 text = t.as_py() or b""
                 if ids and size + len(text) > block_bytes:
+                    if carry and k > done:
+                        others.append(rest.slice(done, k - done))
+                        done = k
                     yield flush()
                 ids.append(i)
                 texts.append(text)
                 size += len(text)
+            if carry and b.num_rows > done:
+                others.append(rest.slice(done))
         if ids:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(tidy(run), BLOCK)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]).mapInArrow(tidy(run), BLOCK)
 
 
 class Block:
@@ -393,14 +410,8 @@ def resolve(runs: list[tuple[np.ndarray, ...]], length: int) -> list[np.ndarray]
     return [mask[a:z] for a, z in bounds]
 
 
-def whole_characters(kept: F.Column) -> F.Column:
-    """Bytes to text; parts of characters at the edges of removed spans are dropped."""
-
-    @F.pandas_udf("string")
-    def decode(s):
-        return s.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return decode(kept)
+def _parse(ddl: str) -> list[StructField]:
+    return list(StructType.fromDDL(ddl))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -414,14 +425,15 @@ def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 50, keep_text: bool = False, block_bytes: int = 6_000_000, bucket_anchors: int = 4_000_000, part_suffixes: int = 150_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = 50, keep_text: bool = False, block_bytes: int = 6_000_000, bucket_anchors: int = 4_000_000, part_suffixes: int = 150_000, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` (flattened [from, to) pairs in bytes) and ``kept`` (bytes, if asked for)."""
+    """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` (flattened [from, to) pairs in bytes) and, with ``keep_text``, ``kept``:
+    the text left, without parts of characters that a removed span cut. Columns named in ``carry`` follow unchanged."""
     if not K < length < 256 or length - K > 31:
         raise ValueError(f"length must be from {K + 1} to {K + 31}")
     spark = docs.sparkSession
     text_batches(spark)
-    blocks = materialize(pack_blocks(docs, id_col, text_col, block_bytes), "blocks")
+    blocks = materialize(pack_blocks(docs, id_col, text_col, block_bytes, carry), "blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = max(1, -(-int(total * 2 / (length - K + 2)) // bucket_anchors))
@@ -506,7 +518,15 @@ def remove_repeats(
                 yield close(held)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())]
+        fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept", pa.string())]
+
+        def emit(out: list[tuple], others: pa.Table | None, to: int) -> pa.RecordBatch:
+            own = _batch(out, fields)
+            if others is None:
+                return own
+            beside = others.slice(to - len(out), len(out)).combine_chunks()
+            return pa.RecordBatch.from_arrays([*own.columns, *[c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in beside.columns]], names=[*own.schema.names, *carry])
+
         with np.errstate(over="ignore"):
             for row in _rows(batches):
                 block = Block(row, length)
@@ -532,6 +552,7 @@ def remove_repeats(
                 gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
                 ends = np.cumsum(block.sizes)
                 raw = np.frombuffer(block.data, np.uint8)
+                others = pa.ipc.open_stream(_unzip(row["carried"])).read_all() if carry else None
                 out, size = [], 0
                 for d, (z, n) in enumerate(zip(ends.tolist(), block.sizes.tolist(), strict=True)):
                     a, doc_id = z - n, None if block.nulls[d] else int(block.ids[d])
@@ -541,16 +562,18 @@ def remove_repeats(
                         kept = raw[a:z][~own].tobytes()
                     else:
                         edges, kept = np.zeros(0, np.int64), block.data[a:z]
-                    out.append((doc_id, n, n - len(kept), len(edges) // 2, hashlib.sha256(kept).hexdigest(), edges.tolist(), kept if keep_text else None))
+                    out.append((doc_id, n, n - len(kept), len(edges) // 2, hashlib.sha256(kept).hexdigest(), edges.tolist(), kept.decode("utf-8", "ignore") if keep_text else None))
                     size += len(kept) if keep_text else 200
                     if size > 4_000_000:
-                        yield _batch(out, fields)
+                        yield emit(out, others, d + 1)
                         out, size = [], 0
                 if out:
-                    yield _batch(out, fields)
+                    yield emit(out, others, len(block.ids))
 
     runs = deal.join(answers, "block").mapInArrow(tidy(send_runs), "part long, block long, run binary")
     masks = materialize(runs.repartition(max(1, min(parts, max(shuffles, parts // 4))), "part").sortWithinPartitions("part", "block").mapInArrow(tidy(merge_runs), "block long, part long, masks binary"), "masks")
     found = masks.groupBy("block").agg(F.collect_list(F.struct("part", "masks")).alias("found"))
-    final = deal.join(answers, "block", "left").join(found, "block", "left")
-    return final.mapInArrow(tidy(apply), REMOVED)
+    schema = StructType([*_parse(REMOVED), *[StructField(c, docs.schema[c].dataType) for c in carry]])
+    whole = blocks.drop("n_bytes") if carry else deal
+    final = whole.join(answers, "block", "left").join(found, "block", "left")
+    return final.mapInArrow(tidy(apply), schema)
