@@ -6,7 +6,8 @@ wins. The gap to the runner-up, in bytes per block, gives the score; a narrow ga
 makes the operator reject the text (``accepted`` is false).
 
 Learning: at most ``docs_per_lang`` labelled rows of each language, those with the
-smallest hashes, each giving at most ``dict_bytes // 64`` characters. These bounds are
+smallest hashes, each giving at most ``dict_bytes // 1024`` characters, so that no
+single passage weighs much. These bounds are
 parameters; everything else covers whole texts: a text of any length is encoded in
 blocks of ``block_bytes``, so time is linear and memory constant.
 
@@ -51,12 +52,14 @@ def sample_by_class(rows: DataFrame, class_col: str, key: str, per_class: int, c
     return near.withColumn("_r", F.row_number().over(Window.partitionBy(class_col).orderBy("_h"))).where(F.col("_r") <= per_class).drop("_h", "_r")
 
 
-def learn(docs: DataFrame, docs_per_lang: int = 400, dict_bytes: int = 131072, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
-    """(language, dictionary) pairs, most frequent language first."""
+def learn(docs: DataFrame, docs_per_lang: int = 1200, dict_bytes: int = 131072, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_languages: int = 1000) -> list[tuple[str, bytes]]:
+    """(language, dictionary) pairs, most frequent language first; more than ``max_languages`` is an error, as each text is encoded once for each."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).toLocalIterator()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     chosen = sample_by_class(rows.select("id", "lang"), "lang", "id", docs_per_lang, counts)
-    each = dict_bytes // 64
+    each = dict_bytes // 1024
     texts = F.broadcast(chosen.distinct()) if len(counts) * docs_per_lang <= 1_000_000 else chosen.distinct()
     found: dict[str, list[tuple[int, bytes]]] = {}
     for r in rows.join(texts, ["id", "lang"]).select("lang", F.xxhash64("id").alias("h"), F.substring("text", 1, each).alias("cut")).toLocalIterator():

@@ -149,6 +149,7 @@ def write_archives(
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     refs = revisits(rows.select("page_id", "digest", F.length("payload").alias("n")), min_revisit_bytes)
     ready = rows.join(refs, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    ready = ready.sortWithinPartitions("page_id", "digest", "url")  # a task that runs again cuts the same archives
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
