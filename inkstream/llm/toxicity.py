@@ -10,7 +10,8 @@ unless the labels say otherwise (the weights have priors and are fitted).
 
 Learning: words and word beginnings whose documents are marked toxic far more often
 than chance allows form the insult lexicon. At most ``per_class`` labelled rows of
-each class are used, those with the smallest hashes; this bound is a parameter.
+each class are used, those with the smallest hashes; this bound is a parameter. Of near
+copies among them one is counted, since a text copied often would lend its label to all its words.
 
 Scale: the lexicon is counted by a partial aggregation on the cluster; only entries
 that pass the test reach the driver, at most ``max_lexicon`` (a parameter). Texts
@@ -36,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import text_batches, tidy
+from inkstream.llm.common import materialize, text_batches, tidy
+from inkstream.llm.jaccard_join import signatures
 from inkstream.llm.lang_id import sample_by_class
 
 # Seed words of the lexical transducer, for English, French, German and Spanish.
@@ -144,11 +146,20 @@ def fit_weights(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strengt
     return w
 
 
+def _unlike(rows: DataFrame, trees: int = 6, depth: int = 3) -> DataFrame:
+    """Without rows whose near copy has a smaller id: copies of one text would vouch for each of its words."""
+    keyed = signatures(rows, "id", "text", 5, trees, depth, [depth]).select(F.col("doc_id").alias("id"), F.posexplode(F.element_at("prefixes", 1)).alias("tree", "key")).where("id is not null")
+    first = keyed.groupBy("tree", "key").agg(F.min("id").alias("first"))
+    copies = keyed.join(first, ["tree", "key"]).where("first < id").select("id").distinct()
+    return rows.join(copies, "id", "left_anti")
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, min_gain: float = 25.0, min_share: float = 0.9, max_lexicon: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Grammar:
     """Lexicon and weights from labelled rows; both inputs must already leave out what is held out."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     picked = sample_by_class(marks, "y", "id", per_class, {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()})
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").where(F.length("text") > 0)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").where(F.length("text") > 0)
+    rows = materialize(_unlike(materialize(rows, "labelled")), "unlike")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     grammar = Grammar(words=seeds())

@@ -289,6 +289,19 @@ def test_toxicity_held_out(spark):
     assert (got.predicted == got.toxic).mean() > 0.93 and got.score.between(0, 1).all()
 
 
+def test_copies_do_not_make_insults(spark):
+    """A toxic text copied often must not lend its label to its other words; insults in many texts must be learned."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("bcdfglmnprst"), 2)) + "".join(rng.choice(list("aeiou"), 2)) + "".join(rng.choice(list("bcdfglmnprst"), 2))
+    text = lambda bad: " ".join(word() if rng.random() > 0.08 or not bad else str(rng.choice(["grelk", "snovit"])) for _ in range(60)) + "."
+    copied = text(True) + " harbour"
+    docs = [(i, text(i % 4 == 0)) for i in range(400)] + [(1000 + i, copied) for i in range(150)] + [(2000 + i, text(False) + " harbour") for i in range(3)]
+    labels = [(i, int(i % 4 == 0 if i < 1000 else i < 2000)) for i, _ in docs]
+    g = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert g.words.get("grelk") == g.words.get("snovit") == toxicity.INSULT and "harbour" not in g.words
+    assert g.score(g.patterns(text(False) + " harbour")) < 0.5 < g.score(g.patterns("some grelk here"))
+
+
 def test_toxicity_edges(spark, edge, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (6, 0)], "doc_id long, toxic int")
     g = toxicity.learn(edge, labels)
