@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream import fixed
@@ -15,6 +15,12 @@ def pools(backend: str) -> dict[str, list[str]]:
     return fixed.VOICE_POOLS["gemini" if backend.lower() == "gemini" else "edge"]
 
 
+def pool_table(spark: SparkSession) -> DataFrame:
+    """``engine, pool, pos, voice``: all voices in order of preference."""
+    rows = [(e, p, k, v) for e, by in fixed.VOICE_POOLS.items() for p, voices in by.items() for k, v in enumerate(voices)]
+    return spark.createDataFrame(rows, "engine string, pool string, pos int, voice string")
+
+
 def colour(names: list[str], genders: list[str], lines: list[int], locked: list[str | None], peers: list[list[str]], backend: str, narrator: str | None = None) -> dict[str, str]:
     """Role to voice. Most lines choose first; unused slots of the gender's pool before used ones, never a partner's voice unless the pool is exhausted."""
     own = pools(backend)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,25 @@ BREAKS = ("*", "* * *", "---", "***")
 HEADING, BREAK, DIALOGUE, NARRATION = "heading", "section_break", "dialogue", "narration"
 
 
+@dataclass(frozen=True)
+class Pauses:
+    """Milliseconds of silence that chunks ask for."""
+
+    heading_before: int = fixed.HEADING_BEFORE_MS
+    heading_after: int = fixed.HEADING_AFTER_MS
+    section: int = fixed.BREAK_AFTER_MS
+    mid: int = fixed.MID_MS
+    dialogue: int = fixed.DIALOGUE_MS
+    narration_last: int = fixed.NARRATION_LAST_MS
+    paragraph: int = fixed.PARAGRAPH_MS
+
+    @classmethod
+    def of_pacing(cls, mode: str) -> Pauses:
+        """Pauses as a pacing preset has them."""
+        own = dict(zip(fixed.PACING_FIELDS, fixed.PACING.get(mode, fixed.PACING["normal"]), strict=True))
+        return cls(section=own["chapter_pause_ms"], mid=own["sentence_pause_ms"], dialogue=own["dialogue_turnaround_ms"], narration_last=own["sentence_pause_ms"], paragraph=own["paragraph_pause_ms"])
+
+
 def segments(paragraph: Column) -> Column:
     """Narration and dialogue in turn, as array of (text, chunk_type); blank pieces are dropped.
 
@@ -52,30 +73,30 @@ def _chunk(text: Column, kind: Column, before: Column, after: Column) -> Column:
     return F.struct(text.alias("text"), kind.alias("chunk_type"), before.cast("int").alias("pause_before_ms"), after.cast("int").alias("pause_after_ms"))
 
 
-def segment_chunks(segment: Column, target: int, most: int) -> Column:
+def segment_chunks(segment: Column, target: int, most: int, pauses: Pauses) -> Column:
     """Chunks of one segment."""
     text, kind = segment["text"], segment["chunk_type"]
     spoken = kind == DIALOGUE
-    whole = F.array(_chunk(text, kind, F.lit(0), F.when(spoken, fixed.DIALOGUE_MS).otherwise(fixed.MID_MS)))
-    last = F.when(spoken, fixed.DIALOGUE_MS).otherwise(fixed.NARRATION_LAST_MS)
-    many = T.let(pack(text, target), lambda packs: F.transform(packs, lambda p, i: _chunk(p, kind, F.lit(0), F.when(i == F.size(packs) - 1, last).otherwise(fixed.MID_MS))))
+    whole = F.array(_chunk(text, kind, F.lit(0), F.when(spoken, pauses.dialogue).otherwise(pauses.mid)))
+    last = F.when(spoken, pauses.dialogue).otherwise(pauses.narration_last)
+    many = T.let(pack(text, target), lambda packs: F.transform(packs, lambda p, i: _chunk(p, kind, F.lit(0), F.when(i == F.size(packs) - 1, last).otherwise(pauses.mid))))
     return F.when(T.word_count(text) <= most, whole).otherwise(many)
 
 
-def paragraph_chunks(paragraph: Column, target: int = fixed.TARGET_WORDS, most: int = fixed.MAX_WORDS) -> Column:
+def paragraph_chunks(paragraph: Column, target: int = fixed.TARGET_WORDS, most: int = fixed.MAX_WORDS, pauses: Pauses = Pauses()) -> Column:
     """Chunks of one paragraph; the last of prose pauses for a paragraph at least."""
-    heading = F.array(_chunk(T.heading_text(paragraph), F.lit(HEADING), F.lit(fixed.HEADING_BEFORE_MS), F.lit(fixed.HEADING_AFTER_MS)))
-    pause = F.array(_chunk(F.lit(""), F.lit(BREAK), F.lit(0), F.lit(fixed.BREAK_AFTER_MS)))
-    prose = F.flatten(F.transform(segments(paragraph), lambda s: segment_chunks(s, target, most)))
-    longer = lambda c: F.greatest(c["pause_after_ms"], F.lit(fixed.PARAGRAPH_MS))
+    heading = F.array(_chunk(T.heading_text(paragraph), F.lit(HEADING), F.lit(pauses.heading_before), F.lit(pauses.heading_after)))
+    pause = F.array(_chunk(F.lit(""), F.lit(BREAK), F.lit(0), F.lit(pauses.section)))
+    prose = F.flatten(F.transform(segments(paragraph), lambda s: segment_chunks(s, target, most, pauses)))
+    longer = lambda c: F.greatest(c["pause_after_ms"], F.lit(pauses.paragraph))
     bumped = T.let(prose, lambda all_: F.transform(all_, lambda c, i: _chunk(c["text"], c["chunk_type"], c["pause_before_ms"], F.when(i == F.size(all_) - 1, longer(c)).otherwise(c["pause_after_ms"]))))
     return F.when(paragraph.startswith("#"), heading).when(paragraph.isin(*BREAKS), pause).otherwise(bumped)
 
 
-def chunk_chapters(chapters: DataFrame, target: int = fixed.TARGET_WORDS, most: int = fixed.MAX_WORDS, id_col: str = "doc_id") -> DataFrame:
+def chunk_chapters(chapters: DataFrame, target: int = fixed.TARGET_WORDS, most: int = fixed.MAX_WORDS, pauses: Pauses = Pauses(), id_col: str = "doc_id") -> DataFrame:
     """``doc_id, chapter_index, chunk_index, chunk_type, text, pause_before_ms, pause_after_ms``."""
     paras = T.paragraphs(compose(F.col("title"), F.col("content")))
-    per_chapter = chapters.select(id_col, "chapter_index", F.flatten(F.transform(paras, lambda p: paragraph_chunks(p, target, most))).alias("chunks"))
+    per_chapter = chapters.select(id_col, "chapter_index", F.flatten(F.transform(paras, lambda p: paragraph_chunks(p, target, most, pauses))).alias("chunks"))
     out = per_chapter.select(id_col, "chapter_index", F.posexplode("chunks").alias("chunk_index", "c"))
     return out.select(id_col, "chapter_index", "chunk_index", "c.chunk_type", "c.text", "c.pause_before_ms", "c.pause_after_ms")
 

@@ -12,29 +12,30 @@ from inkstream.functions.dsp import FADE_MS, from_wav, join_faded, ms_to_samples
 MISSING_MS = 300
 
 
-def offsets(n: Column, pause: Column, missing: Column, fade: int, total: Column) -> Column:
-    """Length of the signal after one more chunk: crossfaded, then its pause; silence for a missing one, nothing for an empty one."""
+def offsets(n: Column, pause: Column, missing: Column, fade: int, total: Column, keep_pauses: bool = False) -> Column:
+    """Length of the signal after one more chunk: crossfaded, then its pause; silence for a missing one, nothing for an empty one (or its pause, if asked)."""
     overlap = F.least(F.lit(fade).cast("long"), total, n)
     quiet = ms_to_samples(F.greatest(F.lit(MISSING_MS), pause)).cast("long")
     gap = F.when(pause > 0, ms_to_samples(pause)).otherwise(0).cast("long")
-    return F.when(missing, total + quiet).when(n == 0, total).otherwise(total + n - overlap + gap)
+    return F.when(missing, total + quiet).when(n == 0, total + gap if keep_pauses else total).otherwise(total + n - overlap + gap)
 
 
-def place(chunks: DataFrame, fade_ms: int = FADE_MS, id_col: str = "doc_id") -> DataFrame:
+def place(chunks: DataFrame, fade_ms: int = FADE_MS, keep_pauses: bool = False, id_col: str = "doc_id") -> DataFrame:
     """Adds ``start`` and ``end``, in samples; chunks need ``seq, n_samples`` (null if missing), ``pause_after_ms``.
 
     Once the signal is as long as a fade, every overlap is known from the chunk alone and
     offsets are running sums; the chunks before that are few, and only those are folded.
+    ``keep_pauses`` lets silent chunks, such as section breaks, keep their pause.
     """
     fade = int(fade_ms / 1000.0 * SAMPLE_RATE)
     order = Window.partitionBy(id_col).orderBy("seq")
     n, missing = F.coalesce(F.col("n_samples").cast("long"), F.lit(0).cast("long")), F.col("n_samples").isNull()
-    alone = offsets(n, F.col("pause_after_ms"), missing, 0, F.lit(0).cast("long"))
+    alone = offsets(n, F.col("pause_after_ms"), missing, 0, F.lit(0).cast("long"), keep_pauses)
     # a lower bound of the signal so far: every chunk overlaps in full
     least = F.sum(alone - F.when(missing | (n == 0), 0).otherwise(F.least(F.lit(fade).cast("long"), n))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = chunks.withColumns({"_n": n, "_settled": F.coalesce(least, F.lit(0)) >= fade, "_alone": alone, "_missing": missing})
     opening = F.collect_list(F.when(~F.col("_settled"), F.struct("_n", "pause_after_ms", "_missing"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    folded = F.aggregate(opening, F.lit(0).cast("long"), lambda total, c: offsets(c["_n"], c["pause_after_ms"], c["_missing"], fade, total))
+    folded = F.aggregate(opening, F.lit(0).cast("long"), lambda total, c: offsets(c["_n"], c["pause_after_ms"], c["_missing"], fade, total, keep_pauses))
     own = F.col("_alone") - F.when(F.col("_missing") | (F.col("_n") == 0), 0).otherwise(F.least(F.lit(fade).cast("long"), F.col("_n")))
     settled = F.coalesce(F.sum(F.when(F.col("_settled"), own)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
     placed = rows.withColumn("end", folded + settled)
@@ -62,7 +63,7 @@ def chapter_at(marks: DataFrame, times: DataFrame, id_col: str = "doc_id") -> Da
     return times.join(marks, id_col).where((F.col("t_ms") >= F.col("start_ms")) & (F.col("t_ms") < end))
 
 
-def assemble(sounds: list[bytes | None], pauses: list[int], fade_ms: int = FADE_MS, wav: bool = False) -> np.ndarray:
+def assemble(sounds: list[bytes | None], pauses: list[int], fade_ms: int = FADE_MS, wav: bool = False, keep_pauses: bool = False) -> np.ndarray:
     """The signal of one document, for a sink."""
     parts: list[np.ndarray] = []
     tail = np.zeros(0, np.int16)  # kept apart, so that joining costs what is joined
@@ -72,7 +73,7 @@ def assemble(sounds: list[bytes | None], pauses: list[int], fade_ms: int = FADE_
             tail = np.concatenate((tail, np.zeros(int(max(MISSING_MS, pause) / 1000.0 * SAMPLE_RATE), np.int16)))
         else:
             own = trim(from_wav(sound)[1] if wav else np.frombuffer(sound, "<i2"))
-            if not len(own):
+            if not len(own) and not keep_pauses:
                 continue
             tail = join_faded(tail, own, fade) if len(tail) else own
             if pause > 0:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -22,7 +23,11 @@ from inkstream.sources import manuscripts
 
 @dataclass(frozen=True)
 class Config:
-    """Options of a run. ``pacing_speed`` lets the pacing preset's speed count (it has no effect otherwise)."""
+    """Options of a run.
+
+    ``pacing_speed`` and ``pacing_pauses`` let the pacing preset's speed and pauses count (it has
+    no effect otherwise); ``break_pauses`` lets section breaks keep their pause on the timeline.
+    """
 
     backend: str = "edge"
     voice: str = "en-US-ChristopherNeural"
@@ -31,6 +36,8 @@ class Config:
     cast: Any = None
     pacing_mode: str = "normal"
     pacing_speed: bool = False
+    pacing_pauses: bool = False
+    break_pauses: bool = False
     speed: float = 1.0
     audio_format: str = "m4b"
     crossfade_ms: int = 35
@@ -84,7 +91,7 @@ class Pipeline:
         parts = chapters.split_chapters(documents)
         if c.audition:
             parts = chapters.audition_excerpt(parts, c.audition_words)
-        cut = chunks.with_sequence(chunks.chunk_chapters(parts))
+        cut = chunks.with_sequence(chunks.chunk_chapters(parts, pauses=chunks.Pauses.of_pacing(c.pacing_mode) if c.pacing_pauses else chunks.Pauses()))
         attributed = settle(attribution.attribute(cut, c.members()))
         people = attribution.characters(attributed, c.members())
         voices = casting.cast_voices(people, c.backend, c.voice)
@@ -102,7 +109,7 @@ class Pipeline:
         speaker = engine(c.backend, **c.engine_options)
         fresh = synthesis.speak(r.delivered, speaker, cache, c.synthesis_partitions)
         r.audio = fresh if cache is None else cache.unionByName(fresh)
-        r.placed = timeline.place(synthesis.with_lengths(r.delivered, speaker, r.audio), c.crossfade_ms)
+        r.placed = timeline.place(synthesis.with_lengths(r.delivered, speaker, r.audio), c.crossfade_ms, c.break_pauses)
         r.marks = timeline.chapter_marks(r.placed, r.chapters)
         return r
 
@@ -110,10 +117,13 @@ class Pipeline:
         """The signal of a rendered document, on the driver, and its number of chunks."""
         sounding = synthesis.with_audio(r.delivered, engine(self.config.backend, **self.config.engine_options), r.audio)
         rows = sounding.orderBy("seq").select("pcm", "pause_after_ms").collect()
-        return timeline.assemble([None if x.pcm is None else bytes(x.pcm) for x in rows], [x.pause_after_ms for x in rows], self.config.crossfade_ms), len(rows)
+        return timeline.assemble([None if x.pcm is None else bytes(x.pcm) for x in rows], [x.pause_after_ms for x in rows], self.config.crossfade_ms, keep_pauses=self.config.break_pauses), len(rows)
+
+    def run(self, spark: SparkSession, target: str, output_path: str | None = None, cache_path: str | None = None, progress: Callable[[int, int, str], None] | None = None) -> dict:
+        """One manuscript to files: audio, player, and a report. Only this document's audio reaches the driver.
 
-    def run(self, spark: SparkSession, target: str, output_path: str | None = None, cache_path: str | None = None) -> dict:
-        """One manuscript to files: audio, player, and a report. Only this document's audio reaches the driver."""
+        ``progress`` hears (done, total, first words) for each chunk once its sound is there.
+        """
         documents = manuscripts.route(spark, target)
         cache = None
         if cache_path and manuscripts.exists(spark, cache_path):
@@ -123,6 +133,10 @@ class Pipeline:
             synthesis.speak(r.delivered, engine(self.config.backend, **self.config.engine_options), cache, self.config.synthesis_partitions).write.mode("append").parquet(cache_path)
             cache = spark.read.schema(synthesis.AUDIO).parquet(cache_path)
             r = self.render(documents, cache)
+        if progress:
+            told = r.delivered.orderBy("seq").select(F.left("text", F.lit(40)).alias("t")).collect()
+            for k, row in enumerate(told):
+                progress(k + 1, len(told), row.t)
         doc = documents.select("doc_id", "title", "author", T.slug(F.col("title")).alias("slug")).first()
         signal, n_chunks = self.assemble(r)
         marks = [m.asDict() for m in r.marks.orderBy("ord").collect()]

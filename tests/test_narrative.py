@@ -290,11 +290,36 @@ def test_rendered_document(spark):
     assert [x.ord for x in at] == [0, 1]
 
 
+def test_pacing_and_breaks_can_count(spark):
+    documents = manuscripts.from_string(spark, "One.\n\n***\n\n\"Two,\" he said.")
+    plain, own = (Pipeline(Config(backend="mock", pacing_mode="brisk", pacing_pauses=x, pacing_speed=x, break_pauses=x)) for x in (False, True))
+    a, b = plain.render(documents), own.render(documents)
+    pauses = lambda r: [x.pause_after_ms for x in r.chunks.orderBy("seq").collect()]
+    assert pauses(a) == [650, 1200, 450, 650] and pauses(b) == [450, 800, 280, 450]
+    assert a.delivered.first().ssml_rate == "+0%" and b.delivered.where("chunk_type = 'narration'").first().ssml_rate == "+10%"
+    for p, r in ((plain, a), (own, b)):
+        assert len(p.assemble(r)[0]) == r.placed.agg(F.max("end")).first()[0]
+    assert b.placed.where("chunk_type = 'section_break'").select(F.col("end") - F.col("start")).first()[0] == 19_200
+    assert casting.pool_table(spark).where("engine = 'gemini' and pool = 'female' and pos = 0").first().voice == "Aoede"
+
+
+def test_wav_files(spark, tmp_path):
+    from inkstream.sources import audio
+
+    sinks.write_wav(tone(300), str(tmp_path / "a.wav"))
+    (tmp_path / "b.wav").write_bytes(b"no wav")
+    got = {r.path.rsplit("/", 1)[1]: r for r in audio.durations(audio.from_wav_files(spark, str(tmp_path / "*.wav"))).collect()}
+    assert got["a.wav"].seconds == 1.0 and bytes(got["a.wav"].pcm) == tone(300).tobytes() and got["b.wav"].seconds == 0.0
+    assert {r.path.rsplit("/", 1)[1]: r.is_speech for r in audio.verify_files(spark, str(tmp_path / "*.wav")).collect()} == {"a.wav": True, "b.wav": False}
+
+
 def test_run_writes_files(spark, tmp_path):
     source = tmp_path / "a_story.md"
     source.write_text('---\ntitle: "The <Bar>"\nauthor: Me\n---\n' + STORY)
     config = Config(backend="mock", audio_format="wav")
-    done = Pipeline(config).run(spark, str(source), str(tmp_path / "out" / "a.wav"), str(tmp_path / "cache"))
+    heard = []
+    done = Pipeline(config).run(spark, str(source), str(tmp_path / "out" / "a.wav"), str(tmp_path / "cache"), lambda *x: heard.append(x))
+    assert heard[-1][:2] == (done["total_chunks"],) * 2 and heard[0][2] == "The Bar"
     assert sinks.verify_file(done["audio_path"])["rms"] > 150
     assert [m["title"] for m in done["marks"]] == ["The Bar", "Outside"] and done["duration_seconds"] > 5
     page = open(done["player_path"]).read()
