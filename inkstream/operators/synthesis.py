@@ -44,8 +44,9 @@ def speak(chunks: DataFrame, engine: Engine, cache: DataFrame | None = None, par
     work = work.groupBy("key").agg(*[F.first(c).alias(c) for c in work.columns if c not in ("key", "pause_after_ms")], F.max("pause_after_ms").alias("pause_after_ms"))
     if cache is not None:
         work = work.join(cache.where(F.length("pcm") > 0).select("key"), "key", "left_anti")
-    if partitions:
-        work = work.repartition(partitions, "key")
+    # rows are few and each is costly, so they must not be merged into a few tasks by their size in bytes
+    spark = chunks.sparkSession
+    work = work.repartition(partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
