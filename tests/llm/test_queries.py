@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from inkstream.llm import queries
-from tests.llm.test_operators import brute_classes, brute_hits, brute_suffix
+from tests.llm.test_operators import EDGE, brute_classes, brute_hits, brute_suffix, documents
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
@@ -80,3 +80,22 @@ def test_pipeline(spark, data):
         target[r["source"]] = r["target"]
     assert all(abs(taken[s] - target[s]) <= 1 for s in target)
     assert corpus_pipeline.run(spark, data).count() == len(after)
+
+
+def test_stages_on_edges(spark, data):
+    """Nulls, empty and long texts, repeated rows, clashing extra columns, empty tables: every stage runs and keeps what it may not judge."""
+    edge = documents(spark, EDGE)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, edge, data)
+        assert stage(spark, documents(spark, []), data).count() == 0, name
+        kept = [(r.doc_id, getattr(r, "text", None)) for r in got.collect()]
+        if name != "source_mix":
+            assert got.columns == corpus_pipeline.COLUMNS
+        if name == "near_duplicates":
+            assert {i for i, _ in kept} == {1, 3, 4, 5, 6, 7, 8, 10, None} and len(kept) == 10
+        if name == "repeated_passages":
+            assert {i for i, _ in kept} == {1, 5, 6, 7, 8, 10, None, 3, 4}
+        if name in ("decontamination", "source_mix"):
+            assert len(kept) == len(EDGE)
+        if name == "language_id":
+            assert not {3, 4, 7, 8} & {i for i, _ in kept} and {1, 2, 9} <= {i for i, _ in kept}
