@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,9 +56,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def _sweep() -> None:
+    """Delete this process's scratch tables; results that were not written by now can't be read any more anyway."""
+    for spark, path in _scratch:
+        if path.startswith(("/", "file:")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        else:
+            with contextlib.suppress(Exception):  # the session may be gone, and the folder with it
+                _delete(spark, path)
+
+
+atexit.register(_sweep)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/inkstream-{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, deleted when this process ends."""
+    path = f"{shared_dir(spark)}/inkstream-{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -75,8 +101,7 @@ def drop_scratch(spark: SparkSession, *frames: DataFrame) -> None:
         for file in df.inputFiles()[:1]:
             folder = file.rsplit("/", 1)[0]
             if "/inkstream-" in folder and root.split("://")[-1].lstrip("/") in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(spark, folder)
 
 
 def utf8(col: str) -> F.Column:
