@@ -154,7 +154,7 @@ def _unlike(rows: DataFrame, trees: int = 6, depth: int = 3) -> DataFrame:
     return rows.join(copies, "id", "left_anti")
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, min_gain: float = 25.0, min_share: float = 0.9, max_lexicon: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, min_gain: float = 18.0, min_share: float = 0.9, max_lexicon: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Grammar:
     """Lexicon and weights from labelled rows; both inputs must already leave out what is held out."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     picked = sample_by_class(marks, "y", "id", per_class, {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()})
