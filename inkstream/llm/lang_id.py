@@ -6,8 +6,9 @@ wins. The gap to the runner-up, in bytes per block, gives the score; a narrow ga
 makes the operator reject the text (``accepted`` is false).
 
 Learning: at most ``docs_per_lang`` labelled rows of each language, those with the
-smallest hashes, each giving at most ``dict_bytes // 1024`` characters, so that no
-single passage weighs much. These bounds are
+smallest hashes. Their whole texts are cut into pieces of ``excerpt_chars``; each row in turn
+gives one piece, in the order of the pieces' hashes, until ``dict_bytes`` are full or all texts are used up.
+Equal pieces count once, so that no single passage (a site's header) weighs much. These bounds are
 parameters; everything else covers whole texts: a text of any length is encoded in
 blocks of ``block_bytes``, so time is linear and memory constant.
 
@@ -19,6 +20,7 @@ rows are judged row by row; an empty table gives no rows; extra columns are igno
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from inkstream.llm.common import text_batches, tidy
+from inkstream.llm.common import drop_scratch, materialize, text_batches, tidy
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 PREDICTED = "doc_id long, lang_pred string, score double, margin_bytes long, accepted boolean"
@@ -52,28 +54,47 @@ def sample_by_class(rows: DataFrame, class_col: str, key: str, per_class: int, c
     return near.withColumn("_r", F.row_number().over(Window.partitionBy(class_col).orderBy("_h"))).where(F.col("_r") <= per_class).drop("_h", "_r")
 
 
-def learn(docs: DataFrame, docs_per_lang: int = 1200, dict_bytes: int = 131072, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_languages: int = 1000) -> list[tuple[str, bytes]]:
+def pieces(text: str, key: int, excerpt_chars: int) -> list[str]:
+    """The letters of a whole text in pieces of ``excerpt_chars``, in an order set by hashes of the key and the place."""
+    plain = letters(text).decode("utf-8")
+    found = [plain[i : i + excerpt_chars] for i in range(0, len(plain), excerpt_chars)]
+    order = sorted(range(len(found)), key=lambda k: hashlib.blake2b(b"%d %d" % (key, k), digest_size=8).digest())
+    return [found[k] for k in order]
+
+
+def learn(docs: DataFrame, docs_per_lang: int = 1200, dict_bytes: int = 131072, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_languages: int = 1000, excerpt_chars: int = 128) -> list[tuple[str, bytes]]:
     """(language, dictionary) pairs, most frequent language first; more than ``max_languages`` is an error, as each text is encoded once for each."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()}
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
+    if not counts:
+        return []
     chosen = sample_by_class(rows.select("id", "lang"), "lang", "id", docs_per_lang, counts)
-    each = dict_bytes // 1024
     texts = F.broadcast(chosen.distinct()) if len(counts) * docs_per_lang <= 1_000_000 else chosen.distinct()
-    found: dict[str, list[tuple[int, bytes]]] = {}
-    for r in rows.join(texts, ["id", "lang"]).select("lang", F.xxhash64("id").alias("h"), F.substring("text", 1, each).alias("cut")).toLocalIterator():
-        found.setdefault(r.lang, []).append((r.h, letters(r.cut)))
-    out = []
-    for lang in counts:
-        parts, size = [], 0
-        for _, cut in sorted(found.get(lang, [])):
-            if size < dict_bytes:
-                parts.append(cut[: dict_bytes - size])
-                size += len(parts[-1])
-        if parts:
-            out.append((lang, b"\n".join(parts)[-dict_bytes:]))
-    return out
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, key, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                cuts = pieces(text, key, excerpt_chars)
+                yield pa.record_batch([pa.array([lang] * len(cuts), pa.string()), pa.array(range(len(cuts)), pa.int32()), pa.array([key] * len(cuts), pa.int64()), pa.array(cuts, pa.string())], ["lang", "turn", "h", "cut"])
+
+    cuts = rows.join(texts, ["id", "lang"]).select("lang", F.xxhash64("id").alias("h"), "text").mapInArrow(tidy(spell), "lang string, turn int, h long, cut string")
+    cuts = materialize(cuts.groupBy("lang", "cut").agg(F.min(F.struct("turn", "h")).alias("at")).select("lang", "at.*", "cut"), "excerpts")
+    # the turn in which each dictionary is full
+    last: dict[str, int] = {}
+    size: dict[str, int] = {}
+    for r in cuts.groupBy("lang", "turn").agg(F.sum(F.octet_length("cut") + 1).alias("n")).orderBy("lang", "turn").toLocalIterator():
+        if size.get(r.lang, 0) < dict_bytes:
+            last[r.lang], size[r.lang] = r.turn, size.get(r.lang, 0) + r.n
+    found: dict[str, list[tuple[int, int, bytes]]] = {}
+    if last:
+        needed = F.col("turn") <= F.element_at(F.create_map(*[F.lit(x) for pair in last.items() for x in pair]), F.col("lang"))
+        for r in cuts.where(needed).toLocalIterator():
+            found.setdefault(r.lang, []).append((r.turn, r.h, r.cut.encode()))
+    drop_scratch(docs.sparkSession, cuts)
+    return [(lang, b"\n".join(cut for _, _, cut in sorted(found[lang]))[:dict_bytes]) for lang in counts if lang in found]
 
 
 class Classifier:

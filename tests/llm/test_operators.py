@@ -246,6 +246,20 @@ def test_language_edges(spark, edge, empty):
     assert kept.columns == edge.columns and kept.where("doc_id in (3, 4, 7, 8)").count() == 0
 
 
+def test_dictionaries_come_from_whole_texts(spark, data):
+    """A header before every text must not be all that the dictionaries hold."""
+    from inkstream.llm.queries import remainder
+
+    header = " ".join(f"{a}{b}" for a in ("home", "news", "shop", "help", "about") for b in ("page", "link", "list", "item", "menu"))
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("text is not null").selectExpr("doc_id", f"concat('{header} ', text) as text", "lang")
+    dicts = lang_id.learn(docs.where(remainder(4) != 2), dict_bytes=16384)
+    assert all(8192 < len(d) <= 16384 for _, d in dicts)
+    got = lang_id.identify(docs.where(remainder(4) == 2), dicts).join(docs, "doc_id").toPandas()
+    assert (got.lang_pred == got.lang).mean() > 0.9 and got.accepted.mean() > 0.9
+    parts = lang_id.pieces("One two, three. " * 50, 7, 100)
+    assert sorted(parts) == sorted(lang_id.letters("One two, three. " * 50).decode()[i : i + 100] for i in range(0, 699, 100)) and parts != lang_id.pieces("One two, three. " * 50, 8, 100)
+
+
 # --- 6: urls -----------------------------------------------------------------------------------
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), (None, "/", "block")]
