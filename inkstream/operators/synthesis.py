@@ -15,6 +15,7 @@ from inkstream.functions.dsp import ms_to_samples, trim
 from inkstream.operators.engines import Engine
 
 AUDIO = "key string, pcm binary, n_samples int, error string"
+HELD_BYTES = 16 << 20  # of sound that a worker holds before handing it on
 
 
 def content_key(engine_name: str) -> Column:
@@ -50,17 +51,18 @@ def speak(chunks: DataFrame, engine: Engine, cache: DataFrame | None = None, par
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, sounds, lengths, errors = [], [], [], []
+            made, held = [], 0
             for row in pdf.to_dict("records"):
                 try:
                     pcm, error = np.asarray(engine.speak(row), "<i2").tobytes(), None
                 except Exception as e:  # a chunk that can't be spoken must not stop the rest
                     pcm, error = bytes(2 * int(max(500, row["pause_after_ms"]) / 1000.0 * SAMPLE_RATE)), str(e)
-                keys.append(row["key"])
-                sounds.append(pcm)
-                lengths.append(len(trim(np.frombuffer(pcm, "<i2"))))
-                errors.append(error)
-            yield pd.DataFrame({"key": keys, "pcm": sounds, "n_samples": lengths, "error": errors})
+                made.append((row["key"], pcm, len(trim(np.frombuffer(pcm, "<i2"))), error))
+                held += len(pcm)
+                if held >= HELD_BYTES:  # a batch of texts can be gigabytes of sound
+                    yield pd.DataFrame(made, columns=["key", "pcm", "n_samples", "error"])
+                    made, held = [], 0
+            yield pd.DataFrame(made, columns=["key", "pcm", "n_samples", "error"])
 
     return work.mapInPandas(run, AUDIO)
 

@@ -36,6 +36,13 @@ def test_runs(spark, data, name):
     assert queries.QUERIES[name](spark, data).count() > 0
 
 
+def test_every_sound_is_spoken(spark, data, con):
+    """One sound for each distinct key of the delivered chunks, dialogue included."""
+    keys = con.execute(queries.ORACLES["synth_dedupe"]).df().key
+    got = queries.synthesized_audio(spark, data).toPandas()
+    assert sorted(got.key) == sorted(keys) and got.error.isna().all() and (got.n_samples >= 240).all()
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - PYTHON))
 def test_native(spark, data, name):
     plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
