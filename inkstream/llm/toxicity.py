@@ -15,8 +15,8 @@ copies among them one is counted, since a text copied often would lend its label
 
 Scale: the lexicon is counted by a partial aggregation on the cluster; only entries
 that pass the test reach the driver, at most ``max_lexicon`` (a parameter). Texts
-are scanned whole, once, by an automaton of the lexicon; only texts with a match
-are cut into clauses.
+are cut into clauses of words once, and scanned whole by an automaton of the lexicon; only
+those with a match pass the grammar.
 
 Edge cases: null and empty texts match nothing and get the base score; without
 labels of both classes the seed lexicon and the priors are used; labels of one
@@ -63,6 +63,11 @@ def words_of(text: str) -> list[str]:
     return [w.strip("'") for w in text.lower().encode("utf-8", "replace").translate(WORD_BYTES).decode("utf-8", "replace").split()]
 
 
+def clauses_of(text: str) -> list[list[str]]:
+    """The words of each clause; what the automaton and the grammar both read."""
+    return [words_of(clause) for clause in CLAUSE.split(text)]
+
+
 @dataclass
 class Grammar:
     """Lexical transducer, grammar transducer and weights."""
@@ -91,6 +96,11 @@ class Grammar:
             a.make_automaton()
         return a
 
+    @staticmethod
+    def line(clauses: list[list[str]]) -> str:
+        """The words as the automaton reads them."""
+        return f" {' '.join(w for words in clauses for w in words)} ".encode("utf-8", "replace").decode("latin-1")
+
     def clause(self, symbols: list[int]) -> list[int]:
         """Patterns completed in one clause, by the composed transducer."""
         out = []
@@ -108,9 +118,13 @@ class Grammar:
 
     def patterns(self, text: str) -> np.ndarray:
         """Matched patterns of a text: saturating counts by kind."""
+        return self.matched(clauses_of(text))
+
+    def matched(self, clauses: list[list[str]]) -> np.ndarray:
+        """Matched patterns of clauses of words."""
         counts = np.zeros(len(PATTERNS))
-        for clause in CLAUSE.split(text):
-            for k in self.clause([self.symbol(w) for w in words_of(clause)]):
+        for words in clauses:
+            for k in self.clause([self.symbol(w) for w in words]):
                 counts[k] += 1
         return np.minimum(counts, 3.0)
 
@@ -211,9 +225,9 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
             out = []
             for x in b.column(1):
                 text = x.as_py() or ""
-                line = b" ".join(text.lower().encode("utf-8", "replace").translate(WORD_BYTES).split()).decode("latin-1")
-                if line and len(automaton) and next(automaton.iter(f" {line} "), None) is not None:
-                    out.append(g.score(g.patterns(text)))
+                clauses = clauses_of(text)
+                if len(automaton) and next(automaton.iter(g.line(clauses)), None) is not None:
+                    out.append(g.score(g.matched(clauses)))
                 else:
                     out.append(base)
             yield pa.record_batch([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])

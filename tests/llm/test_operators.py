@@ -316,6 +316,14 @@ def test_copies_do_not_make_insults(spark):
     assert g.score(g.patterns(text(False) + " harbour")) < 0.5 < g.score(g.patterns("some grelk here"))
 
 
+def test_prefilter_changes_no_score(spark):
+    """Quoted insults, apostrophes, clause ends and stems: scored as the grammar scores them."""
+    g = toxicity.Grammar(words={**toxicity.seeds(), "bête": toxicity.INSULT}, stems=frozenset({"grel"}))
+    texts = ["'idiot'", "He called them 'you moron'.", "'kill", "idiots' idiot'", "'''loser'''!", "l' 'grelk'", "'bête'", "an idiot.moron", "fine' words'", "o'idiot", "'", "", None, "Not 'an idiot'; you 'scum'", "ΟΣ.Α 'stupid'"]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), g).collect()}
+    assert got == pytest.approx({i: g.score(g.patterns(t or "")) for i, t in enumerate(texts)}) and got[0] > g.score(None)
+
+
 def test_toxicity_edges(spark, edge, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (6, 0)], "doc_id long, toxic int")
     g = toxicity.learn(edge, labels)
