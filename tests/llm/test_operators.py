@@ -394,6 +394,20 @@ def test_neighbours(spark):
     assert set(got.query_id) == set(range(0, 1200, 100)) and hit / (12 * 10) >= 0.9
 
 
+def test_neighbours_with_the_share_of_production(spark):
+    """Over 2,000 vectors a shard are searched by half: recall of the forest itself, on uniform points."""
+    x = np.random.default_rng(6).normal(size=(4000, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    got = ann.search(df, df.where("vec_id % 100 = 0")).toPandas()
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10]) & set(g.vec_id))
+    assert 0.9 <= hit / 400 < 1.0
+
+
 def test_neighbours_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (100, [1.0])], "vec_id long, embedding array<double>")
     got = ann.search(df, df.where("vec_id % 100 = 0"))
