@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstream.llm.common import materialize, text_batches, tidy
-from inkstream.llm.jaccard_join import signatures
+from inkstream.llm.jaccard_join import signatures, trie_rows
 from inkstream.llm.lang_id import sample_by_class
 
 # Seed words of the lexical transducer, for English, French, German and Spanish.
@@ -162,7 +162,8 @@ def fit_weights(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strengt
 
 def _unlike(rows: DataFrame, trees: int = 6, depth: int = 3) -> DataFrame:
     """Without rows whose near copy has a smaller id: copies of one text would vouch for each of its words."""
-    keyed = signatures(rows, "id", "text", 5, trees, depth, [depth]).select(F.col("doc_id").alias("id"), F.posexplode(F.element_at("prefixes", 1)).alias("tree", "key")).where("id is not null")
+    signed = signatures(rows, "id", "text", 5, trees, depth).where("doc_id is not null and labels is not null")
+    keyed = trie_rows(signed.withColumnRenamed("doc_id", "node"), trees, depth).select(F.col("node").alias("id"), "tree", F.col("label").alias("key"))
     first = keyed.groupBy("tree", "key").agg(F.min("id").alias("first"))
     copies = keyed.join(first, ["tree", "key"]).where("first < id").select("id").distinct()
     return rows.join(copies, "id", "left_anti")

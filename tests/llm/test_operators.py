@@ -476,9 +476,93 @@ def test_intersections():
     assert (jaccard_join.intersections(sets[:15], sets[15:]) == np.array([[len(set(a.tolist()) & set(b.tolist())) for b in sets[15:]] for a in sets[:15]])).all()
 
 
-def test_prefix_depths():
-    assert jaccard_join.depths(20, 6, Fraction(4, 5), 0.9999) == [6, 4]
-    assert (1 - 0.8**4) ** 20 <= 1e-4 < (1 - 0.8**5) ** 20
+def test_prefixes_shorten_until_the_recall():
+    """All alone: evenly. Hot groups stay deep while others can make up for them; if nothing else helps, they are opened."""
+    f, misses = Fraction(4, 5), jaccard_join.log_misses(6, Fraction(4, 5))
+    chance = lambda at: sum(misses[d] for d in at)
+    shortest = jaccard_join.shortest_prefix(24, 6, f, 0.9999)
+    assert shortest == 4
+    plain = jaccard_join.chosen_depths({}, 24, shortest, 6, misses, 0.9999, 64)
+    assert set(plain) == {5, 6} and chance(plain) <= np.log(1e-4)
+    some = jaccard_join.chosen_depths({t: [5000, 900, 70] for t in range(8)}, 24, shortest, 6, misses, 0.9999, 64)
+    assert set(some[:8]) == {6} and min(some[8:]) == 4 and chance(some) <= np.log(1e-4)
+    every = jaccard_join.chosen_depths({t: [10**6, 10**5, 10**4] for t in range(24)}, 24, shortest, 6, misses, 0.9999, 64)
+    assert chance(every) <= np.log(1e-4) and min(every) >= 4
+
+
+def boilerplate(rng, groups=60, shared=30, own=45):
+    """Each page shares a template with the page before and another with the page after: a chain of candidates, no links."""
+    block = lambda n: [f"q{k}" for k in rng.integers(0, 10**9, n)]
+    templates = [block(shared) for _ in range(groups + 1)]
+    docs, i = [], 0
+    for g in range(groups):
+        for _ in range(4):
+            docs.append((i, " ".join(templates[g] + block(own) + templates[g + 1])))
+            i += 1
+    return docs
+
+
+def test_chains_cost_their_candidates(spark):
+    """A connected chain of boilerplate is compared bucket by bucket: near the number of candidates, far from all pairs."""
+    rng = np.random.default_rng(7)
+    docs = boilerplate(rng)
+    docs += [(1000, docs[17][1] + " more"), (1001, docs[17][1] + " less"), (1002, docs[200][1].upper())]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    signed = jaccard_join.signatures(df, "doc_id", "text", 5, 24, 6).withColumnRenamed("doc_id", "node")
+    held = jaccard_join.buckets(signed, 24, 6, Fraction(1, 20), 0.9999, 64)  # a threshold at which the templates make candidates
+    members = defaultdict(set)
+    for r in held.collect():
+        members[r.bucket].add(r.node)
+    candidates = {(a, b) for m in members.values() for a in m for b in m if a < b}
+    routed = jaccard_join.routes(signed.select("node", "n_shingles"), held, 20, 10**9).collect()
+    by = defaultdict(list)
+    for r in routed:
+        by[r.grp].append(r)
+    compared = sum(len(g) * (len(g) - 1) // 2 for g in by.values())
+    largest = max(len(c) for c in _connected(candidates))
+    assert largest > 100 and any(r.earlier is not None for r in routed)
+    assert len(candidates) <= compared * 1.01 and compared < len(candidates) * 12 and compared < largest * (largest - 1) / 2 / 2
+    # every candidate at the threshold is counted once, though pairs meet in several buckets
+    text = dict(docs)
+    near = lambda a, b: brute_classes([(a, text[a]), (b, text[b])], 0.05)[0][2]
+    links = defaultdict(int)
+    for a, b in candidates:
+        links[a] += near(a, b)
+        links[b] += near(a, b)
+    got = jaccard_join.near_duplicates(df, threshold=Fraction(1, 20), block_nodes=20)
+    assert {r.doc_id: r.n_links for r in got.collect()} == {i: links[i] for i, _ in docs}
+    assert rows(jaccard_join.near_duplicates(df, block_nodes=20), "doc_id", "class_id", "n_links") == brute_classes(docs)
+
+
+def _connected(pairs):
+    up = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        up[root(a)] = root(b)
+    out = defaultdict(set)
+    for x in up:
+        out[root(x)].add(x)
+    return list(out.values())
+
+
+def test_pairs_of_several_buckets_count_once():
+    left, right = [[1, 5, 9], [5], [2, 9]], [[5, 9], [9], [1, 2]]
+    want = [[bool({x for x in a if x < 9} & set(b)) for b in right] for a in left]
+    assert jaccard_join.met_before(left, right, 9).tolist() == want
+
+
+def test_ids_with_several_texts(spark):
+    """Classes belong to rows: of a repeated smallest id one row stays, and an id's other text keeps its own class."""
+    docs = [(1, PASSAGE * 2), (1, PASSAGE * 2), (1, "quite another text that nothing else is like at all"), (2, PASSAGE * 2 + "x"), (3, "a third"), (3, PASSAGE * 2), (None, PASSAGE * 2)]
+    df = spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id long, text string, _x string")
+    assert rows(jaccard_join.near_duplicates(df), "doc_id", "class_id", "n_links") == brute_classes(docs)
+    kept = jaccard_join.keep_one(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.select("doc_id", "text").collect()), key=str) == sorted([(1, PASSAGE * 2), (1, docs[2][1]), (3, "a third"), (None, PASSAGE * 2)], key=str)
 
 
 def test_components(spark):

@@ -45,6 +45,11 @@ def test_suffix_query(spark, data):
     assert sorted(map(tuple, got.collect()), key=str) == brute_suffix(docs)
 
 
+def test_jaccard_query(spark, data):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    assert sorted(map(tuple, queries.op10_jaccard_join(spark, data).collect()), key=str) == brute_classes(docs)
+
+
 def test_held_out_split(spark, data):
     for r in queries.op5_lang_id(spark, data).collect():
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
