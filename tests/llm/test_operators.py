@@ -103,18 +103,59 @@ def test_tokens_equal_the_library(spark, edge, library):
         assert got[i].n_bytes == len((text or "").encode())
 
 
-@pytest.mark.parametrize("text", ["", " a\n", "Don't they're 'll 'S", "<|endoftext|> a <|startoftext|><|x", "ΑΣΣ İıǅ ﬁ ŉ", "e\u0301\u0300 中文한각", "a\x1cb\x85c\xa0d", "12½²x9", "😀‍é" * 5, "thaninble " * 3])
+@pytest.mark.parametrize("text", ["", " a\n", "Don't they're 'll 'S", "<|endoftext|> a <|startoftext|><|x", "ΑΣΣ İıǅ ﬁ ŉ", "e\u0301\u0300 中文한각", "a\x1cb\x85c\xa0d", "12½²x9", "😀‍é" * 5, "thaninble " * 3, "x'x's'rest''s!'ll'LL" * 3, "cafe\u0301s e\u0323\u0301t\u00e9 'e\u0301 s\u0301'", "\u1112\u1161\u11ab\u1100\u1173\u11af abc\u1161", "か\u3099き\u3099x\u3099'\u0301s", "हिन्दी में ক\u09be\u09c7\u09be", "a<|endoftext|><|endoftext|", "١٢٣a½Ⅷ", "\u0301\u0301a", "ﬃ\u0345Å\u0301\u212b"])
 def test_prefixes_equal_the_library(text, library):
     c = token_counts.counter(VOCABULARY)
     want = [len(library.encode(text[:i], add_special_tokens=False)) for i in range(len(text) + 1)]
     assert c.prefix_counts(text).tolist() == want and c.count(text) == want[-1]
-    assert want[c.truncate(text, 3)] <= 3
+    n = token_counts.longest_prefix(c.prefix_counts(text), 3)
+    assert want[n] <= 3 and all(w > 3 for w in want[n + 1 :])
 
 
-def test_stored_prefixes(spark, library):
-    df = spark.createDataFrame([(1, "The harbour's lamps")], "doc_id long, text string")
-    r = token_counts.count_tokens(df, VOCABULARY, store_prefixes=True).first()
-    assert r.prefix_tokens == [len(library.encode("The harbour's lamps"[:i], add_special_tokens=False)) for i in range(20)]
+@pytest.mark.parametrize("seed", range(6))
+def test_prefixes_of_random_strings(library, seed):
+    rng = np.random.default_rng(seed)
+    letters = list("abS'!9 ") + ["\u0301", "\u0323", "é", "中", "か", "\u3099", "\u1100", "\u1161", "\u11a8", "İ", "<|endoftext|>", "\u09c7", "\u09be", "Σ", "\u2003", "😀", "'ll", "\u0345"]
+    c = token_counts.counter(VOCABULARY)
+    for _ in range(25):
+        text = "".join(rng.choice(letters, rng.integers(1, 24)))
+        assert c.prefix_counts(text).tolist() == [len(library.encode(text[:i], add_special_tokens=False)) for i in range(len(text) + 1)], ascii(text)
+
+
+@pytest.mark.parametrize("unit", ["漢字仮名交文章翻訳機械学習東京大阪", "x'x'", "がぎぐげご".replace("が", "か\u3099"), "word", "абвгдежз"])
+def test_long_runs_are_counted_once(library, unit):
+    """Runs of 20,000 characters without a blank take one walk."""
+    import time
+
+    rng = np.random.default_rng(3)
+    text = "".join(rng.permutation(list(unit))) + (unit * 20_000)[: 20_000 - len(unit)]
+    c = token_counts.counter(VOCABULARY)
+    began = time.process_time()
+    got = c.prefix_counts(text)
+    assert time.process_time() - began < 4
+    for i in [0, 1, 2, 3, 17, 999, 5_003, 12_345, 19_999, len(text)]:
+        assert got[i] == len(library.encode(text[:i], add_special_tokens=False)), i
+
+
+def test_stored_prefixes_answer_budgets(spark, library):
+    texts = ["The harbour's lamps", "", None, "中文 か\u3099 text"]
+    stored = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), VOCABULARY, store_prefixes=True)
+    tokens = lambda t: len(library.encode(t, add_special_tokens=False))
+    by = {r.doc_id: r for r in token_counts.truncated(token_counts.tokens_within(stored, 7), 2).collect()}
+    for k, t in enumerate(texts):
+        t = t or ""
+        assert by[k].prefix_tokens == [tokens(t[:i]) for i in range(len(t) + 1)] and by[k].n_tokens == tokens(t)
+        assert by[k].tokens == tokens(t[:7]) and by[k].chars_kept == max(i for i in range(len(t) + 1) if tokens(t[:i]) <= 2)
+
+
+def test_other_vocabularies_are_refused():
+    for name in ("byte_bpe_50k.json",):
+        with pytest.raises(ValueError):
+            token_counts.PrefixCounter(tokenizers.path(name))
+
+
+def test_token_edges(spark, empty):
+    assert token_counts.count_tokens(empty, VOCABULARY).count() == 0 and token_counts.count_tokens(empty, VOCABULARY, store_prefixes=True).count() == 0
 
 
 # --- 3: suffix dedup ---------------------------------------------------------------------------

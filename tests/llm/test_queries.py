@@ -50,6 +50,17 @@ def test_jaccard_query(spark, data):
     assert sorted(map(tuple, queries.op10_jaccard_join(spark, data).collect()), key=str) == brute_classes(docs)
 
 
+def test_token_query(spark, data):
+    """Every whole text, against the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False)) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = queries.op2_token_counts(spark, data).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == want and all(r.over_limit == (r.n_tokens > 2048) for r in got)
+
+
 def test_held_out_split(spark, data):
     for r in queries.op5_lang_id(spark, data).collect():
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
