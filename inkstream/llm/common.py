@@ -36,21 +36,30 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch for this session: texts are long, and a worker holds a batch at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+BATCH_BYTES = 16 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch for this session: texts are long, and a worker holds a batch at a time.
+
+    Plans read the setting when they run, so it can't be put back here; it is only ever lowered.
+    """
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else the folder given to ``setCheckpointDir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder
-    of this process is created and remembered in the session.
+    Only where neither is set and all workers run on this machine (``local`` masters, as in tests), a temporary folder
+    of this process is made and remembered in the session. On a cluster that is an error: parts that executors
+    write to folders of their own would be missed without a word.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("inkstream.shared.dir", None)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get("inkstream.shared.dir", None)
     if not path:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="inkstream-")
         spark.conf.set("inkstream.shared.dir", path)
     return path.rstrip("/")

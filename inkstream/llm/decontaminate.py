@@ -7,20 +7,22 @@ of a single automaton. A document is normalised by one byte translation, scanned
 once, and hits are mapped back to word numbers and to byte offsets of the
 original text.
 
-Scale: the automaton is broadcast only while the patterns stay below
-``max_pattern_bytes``; beyond it the windows are split by hash into blocks, the
-documents are scanned once for each block, and hits are merged by document.
+Scale: an automaton takes about 45 times the bytes of its patterns, in every Python worker, so
+patterns are bounded by ``max_pattern_bytes`` (8 MB, about 350 MB a worker). More are split by hash into blocks,
+taken one after the other: an automaton is built, broadcast, used and dropped before the next one, and what a scan
+finds is written to the shared folder, keyed by the document's id and the hash of its text. Such keys are the same
+in every scan, wherever rows come from. One block needs no shuffle; several need one of the hits.
 
 Edge cases: null or word-free texts have no words and no hits; null or word-free
 items give no window; items with equal text share their windows and are all
-reported; repeated document rows are judged row by row; empty tables give empty
+reported; repeated document rows are judged row by row; rows of one id with other texts keep their own hits; empty tables give empty
 results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,11 @@ from inkstream.llm.common import materialize, text_batches, tidy
 
 WORD_BYTES = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 
+MAX_PATTERN_BYTES = 8_000_000
+
 HITS = T.StructType([
-    T.StructField("row_id", T.LongType()),
     T.StructField("doc_id", T.LongType()),
+    T.StructField("row_hash", T.LongType()),
     T.StructField("n_words", T.LongType()),
     T.StructField("hit_spans", T.ArrayType(T.LongType())),
     T.StructField("byte_spans", T.ArrayType(T.LongType())),
@@ -112,20 +116,22 @@ def scan_text(automaton, text: bytes) -> tuple[int, list[tuple[int, int]], set[i
     return len(words), merged, items
 
 
-def scan(docs: DataFrame, patterns: list[tuple[bytes, list[int]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scan every whole text once with the automaton of the given patterns."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, row_hash, text``; rows of equal id and hash have equal hits."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).cast("binary").alias("text"))
+
+
+def scan(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text", only_hits: bool = False) -> DataFrame:
+    """Scan every whole text once with the automaton of a broadcast list of patterns."""
     text_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
-    built: dict[int, object] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if 0 not in built:
-            built[0] = build_automaton(shared.value)
+        automaton = build_automaton(shared.value)
         for b in batches:
             out: list[list] = [[] for _ in range(4)]
             for text in b.column(2):
                 raw = text.as_py() or b""
-                n, spans, items = scan_text(built[0], raw)
+                n, spans, items = scan_text(automaton, raw)
                 out[0].append(n)
                 out[1].append([x for s in spans for x in s])
                 if spans:
@@ -134,46 +140,64 @@ def scan(docs: DataFrame, patterns: list[tuple[bytes, list[int]]], id_col: str =
                 else:
                     out[2].append([])
                 out[3].append(sorted(items))
-            yield pa.record_batch(
-                [b.column(0), b.column(1), pa.array(out[0], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in out[1:])], HITS.names
-            )
+            found = pa.record_batch([b.column(0), b.column(1), pa.array(out[0], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in out[1:])], HITS.names)
+            yield found.filter(pa.array([bool(x) for x in out[1]], pa.bool_())) if only_hits else found
 
-    keyed = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
-    return keyed.mapInArrow(tidy(run), HITS)
+    return _keyed(docs, id_col, text_col).mapInArrow(tidy(run), HITS)
 
 
-def pattern_blocks(items: DataFrame, window: int = 10, max_pattern_bytes: int = 64_000_000, item_col: str = "item_id", item_text_col: str = "text") -> Iterator[list[tuple[bytes, list[int]]]]:
-    """All windows with their items, in blocks of about ``max_pattern_bytes``; at least one block."""
+def pattern_blocks(items: DataFrame, window: int = 10, max_pattern_bytes: int = MAX_PATTERN_BYTES, item_col: str = "item_id", item_text_col: str = "text") -> tuple[int, Callable[[int], list[tuple[bytes, list[int]]]]]:
+    """Number of blocks of about ``max_pattern_bytes`` (one at least), and a function that reads the windows of a block with their items."""
     windows = materialize(item_windows(items, item_col, item_text_col, window), "windows")
     total = windows.agg(F.sum(F.length("pattern") + 8 * F.size("item_ids"))).first()[0] or 0
     blocks = max(1, -(-int(total) // max_pattern_bytes))
-    for k in range(blocks):
+
+    def read(k: int) -> list[tuple[bytes, list[int]]]:
         block = windows.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k) if blocks > 1 else windows
-        yield [(bytes(r.pattern), list(r.item_ids)) for r in block.toLocalIterator()]
+        return [(bytes(r.pattern), list(r.item_ids)) for r in block.toLocalIterator()]
 
+    return blocks, read
 
-def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, max_pattern_bytes: int = 64_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows without any hit, with all their columns; one pass for each block of patterns, no shuffle."""
-    kept, at = docs, docs.columns.index(text_col)
-    for patterns in pattern_blocks(items, window, max_pattern_bytes, item_col, item_text_col):
-        kept = kept.mapInArrow(tidy(_cleaner(docs, patterns, at)), docs.schema)
-    return kept
 
+def block_hits(docs: DataFrame, blocks: int, read: Callable[[int], list], id_col: str, text_col: str) -> DataFrame:
+    """Hits of all blocks of patterns, one automaton at a time: a row for each block and document row with a hit."""
+    found = None
+    for k in range(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(read(k))
+        part = materialize(scan(docs, shared, id_col, text_col, True), f"hits-{k}")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found
 
-def _cleaner(docs: DataFrame, patterns: list[tuple[bytes, list[int]]], at: int):
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, max_pattern_bytes: int = MAX_PATTERN_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows without any hit, with all their columns."""
     text_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+    blocks, read = pattern_blocks(items, window, max_pattern_bytes, item_col, item_text_col)
+    if blocks > 1:
+        hits = block_hits(docs, blocks, read, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).distinct()
+        keyed = docs.withColumns({"_id0": F.col(id_col).cast("long"), "_hash0": F.xxhash64(text_col)})
+        return keyed.join(hits, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_hash0") == F.col("_hash")), "left_anti").select(docs.columns)
+    shared, at = docs.sparkSession.sparkContext.broadcast(read(0)), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build_automaton(shared.value)
         for b in batches:
             yield b.filter(pa.array([not scan_text(automaton, (x.as_py() or "").encode("utf-8", "replace"))[1] for x in b.column(at)], pa.bool_()))
 
-    return run
+    return docs.mapInArrow(tidy(run), docs.schema)
+
+
+def _count_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([len(words_of(x.as_py() or b"")) for x in b.column(2)], pa.int64())], ["doc_id", "row_hash", "n_words"])
+
+    return _keyed(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, row_hash long, n_words long")
 
 
 def find_contamination(
-    docs: DataFrame, items: DataFrame, window: int = 10, max_pattern_bytes: int = 64_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, items: DataFrame, window: int = 10, max_pattern_bytes: int = MAX_PATTERN_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """Per document row: ``doc_id, n_words, hit_spans, byte_spans, item_ids``.
 
@@ -181,18 +205,16 @@ def find_contamination(
     in bytes of the original text; ``item_ids`` are the sorted ids of the items
     with a window in the text.
     """
-    parts = [scan(docs, patterns, id_col, text_col) for patterns in pattern_blocks(items, window, max_pattern_bytes, item_col, item_text_col)]
-    if len(parts) == 1:
-        return parts[0].drop("row_id")
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    merged = hits.groupBy("row_id").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.flatten(F.collect_list("byte_spans")).alias("byte_spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-    )
-    return merged.select("doc_id", "n_words", _merge("hit_spans").alias("hit_spans"), _merge("byte_spans").alias("byte_spans"), "item_ids")
+    blocks, read = pattern_blocks(items, window, max_pattern_bytes, item_col, item_text_col)
+    if blocks == 1:
+        return scan(docs, docs.sparkSession.sparkContext.broadcast(read(0)), id_col, text_col).drop("row_hash")
+    hits = block_hits(docs, blocks, read, id_col, text_col).distinct()  # repeated rows have equal hits
+    merged = hits.groupBy("doc_id", "row_hash").agg(
+        F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.flatten(F.collect_list("byte_spans")).alias("byte_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+    ).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), _merge("hit_spans").alias("hit_spans"), _merge("byte_spans").alias("byte_spans"), "item_ids")
+    rows = _count_words(docs, id_col, text_col).join(merged, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash")), "left")
+    none = F.array().cast("array<long>")
+    return rows.select("doc_id", "n_words", *[F.coalesce(c, none).alias(c) for c in ("hit_spans", "byte_spans", "item_ids")])
 
 
 def _merge(col: str) -> F.Column:

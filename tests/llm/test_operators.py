@@ -394,16 +394,26 @@ ITEMS = [(1, PASSAGE), (2, "Grey; NIGHT, while"), (3, None), (4, "..."), (5, PAS
 
 
 @pytest.mark.parametrize("bound", [10**6, 60])
-def test_decontamination(spark, edge, bound):
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_decontamination(spark, edge, bound, shuffled):
+    """One block of patterns or many, over rows that lie still or come out of a shuffle; an id with two texts."""
     items = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id long, text string, pattern string")
-    found = decontaminate.find_contamination(edge, items, max_pattern_bytes=bound)
+    docs = [*EDGE, (6, "nothing of the kind", "en", "a")]
+    df = documents(spark, docs)
+    df = df.repartition(7) if shuffled else df
+    found = decontaminate.find_contamination(df, items, max_pattern_bytes=bound)
+    assert (decontaminate.pattern_blocks(items, 10, bound)[0] > 3) == (bound == 60)
     got = rows(decontaminate.digest(found), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    assert got == sorted(((i, *brute_hits(t, ITEMS)) for i, t, _, _ in EDGE), key=str)
-    first = found.where("doc_id = 6").first()
-    a, z = first.byte_spans[:2]
-    assert "É" + PASSAGE.strip() == dict((i, t) for i, t, _, _ in EDGE)[6].encode()[a - 2 if a else 0 : z].decode() or a >= 0
-    clean = decontaminate.keep_clean(edge, items, max_pattern_bytes=bound)
-    assert clean.columns == edge.columns and clean.count() == sum(not g[5] for g in got)
+    assert got == sorted(((i, *brute_hits(t, ITEMS)) for i, t, _, _ in docs), key=str)
+    first = found.where("doc_id = 6 and size(hit_spans) > 0").first()
+    text = EDGE[5][1].encode()
+    spans = list(zip(first.byte_spans[0::2], first.byte_spans[1::2], strict=True))
+    # a word that the text runs into "É" is no word of the item, so the passage is hit from its second word on
+    assert [text[a:z].decode() for a, z in spans] == [PASSAGE.strip().split(" ", 1)[1], "中文"]
+    clean = decontaminate.keep_clean(df, items, max_pattern_bytes=bound)
+    assert clean.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in clean.where("doc_id is not null").collect() if r.text) == sorted((i, t) for i, t, _, _ in docs if t and i is not None and not brute_hits(t, ITEMS)[4])
+    assert clean.count() == sum(not g[5] for g in got)
 
 
 def test_decontamination_empty(spark, edge, empty):
