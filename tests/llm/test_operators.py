@@ -431,7 +431,7 @@ def test_neighbours(spark):
     x[200:500] = x[0]  # a very common vector
     data = [(i, v.tolist(), "x") for i, v in enumerate(x)] + [(5000, None, "x"), (5001, [0.0] * 16, "x"), (5002, [float("nan")] + [1.0] * 15, "x"), (5003, [1.0, None] + [1.0] * 14, "x"), (None, [1.0] * 16, "x"), (5004, [1.0, 2.0], "x"), (7, x[7].tolist(), "x"), (5100, [], "x")]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, score string")
-    got = ann.search(df, df.where("vec_id % 100 = 0"), search_share=0.6, least=100, shard_rows=400).toPandas()
+    got = ann.search(df, df.where("vec_id % 100 = 0"), search_mass=1.2, fit_rows=300, bundle_rows=100, shard_rows=60).toPandas()
     hit = 0
     for q, g in got.groupby("query_id"):
         d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
@@ -445,18 +445,47 @@ def test_neighbours(spark):
     assert set(got.query_id) == set(range(0, 1200, 100)) and hit / (12 * 10) >= 0.9
 
 
-def test_neighbours_with_the_share_of_production(spark):
-    """Over 2,000 vectors a shard are searched by half: recall of the forest itself, on uniform points."""
-    x = np.random.default_rng(6).normal(size=(4000, 64))
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
-    got = ann.search(df, df.where("vec_id % 100 = 0")).toPandas()
+def _recall(got, x, queries):
     hit = 0
-    for q, g in got.groupby("query_id"):
+    for q in queries:
         d = ((x - x[q]) ** 2).sum(1)
         d[q] = np.inf
-        hit += len(set(np.argsort(d)[:10]) & set(g.vec_id))
-    assert 0.9 <= hit / 400 < 1.0
+        hit += len(set(np.argpartition(d, 10)[:10]) & set(got[got.query_id == q].vec_id))
+    return hit / 10 / len(queries)
+
+
+@pytest.mark.parametrize("n", [500, 20_000])
+def test_recall_of_the_registered_query(spark, tmp_path, n):
+    """At its own parameters, on vectors without structure, fewer and as many as the sample holds; part of the vectors is seen only."""
+    from inkstream.llm.queries import op9_ann
+
+    x = np.random.default_rng(6).normal(size=(n, 64))
+    x = (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = op9_ann(spark, f"file://{tmp_path}").toPandas()
+    assert sorted(set(got.query_id)) == list(range(0, n, 100)) and len(got) == n // 10
+    x = x.astype(float)
+    assert 0.9 <= _recall(got, x, range(0, n, 100)) < 1.0
+    scores = np.sqrt(((x[got.query_id] - x[got.vec_id]) ** 2).sum(1))
+    assert got.score.tolist() == pytest.approx(scores.tolist(), abs=1e-12)
+    router = ann.Router(x[:20_000], n, 4, 12, 8, 2048, 16_384, 64)
+    leaves = [t.leaves_of(x) for t in router.trees]
+    seen = np.mean([np.any([np.isin(at, own) for at, own in zip(leaves, router.visits(x[q], 1.1), strict=True)], axis=0).mean() for q in range(0, n, 500)])
+    assert seen < 0.8
+
+
+def test_clusters_need_few_leaves(spark):
+    """With structure, a twentieth of the vectors is enough; a sample smaller than the table, a very common vector dealt to several shards."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(80, 32))
+    x = centres[rng.integers(0, 80, 6000)] + 0.3 * rng.normal(size=(6000, 32))
+    x[1000:3000] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 100 = 7"), search_mass=0.2, fit_rows=1500, bundle_rows=300, shard_rows=250).toPandas()
+    assert _recall(got, x, [q for q in range(7, 6000, 100) if not 1000 <= q < 3000]) >= 0.9
+    assert sorted(got[got.query_id == 1007].vec_id) == [0, *range(1000, 1007), 1008, 1009] and (got[got.query_id == 1007].score == 0).all()
+    routers = ann.fit(ann.usable(df, "vec_id", "embedding"), 1500, {"trees": 2, "leaf_rows": 32, "least_leaf": 16, "bundle_rows": 300, "shard_rows": 250})
+    assert max(int(s.max()) for s in routers[32].salts) >= 6
 
 
 def test_neighbours_few(spark):
