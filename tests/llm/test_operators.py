@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and edge cases."""
 
 import hashlib
+import os
 import re
 from collections import defaultdict
 from fractions import Fraction
@@ -326,20 +327,70 @@ def test_url_rules(spark, bound):
 # --- 7: toxicity -------------------------------------------------------------------------------
 
 
-def test_grammar_patterns():
-    g = toxicity.Grammar(words=toxicity.seeds())
-    kinds = lambda t: dict(zip(toxicity.PATTERNS, g.patterns(t).tolist(), strict=True))
-    assert kinds("An idiot.")["plain"] == 1 and kinds("You idiot!")["targeted"] == 1
-    assert kinds("Never an idiot.")["negated"] == 1 and kinds("Critics said idiot.")["reported"] == 1 and kinds("They will kill again")["threat"] == 1
-    assert kinds("Not here. An idiot") ["plain"] == 1  # a negation ends with its clause
-    assert g.score(g.patterns("never an idiot")) < g.score(g.patterns("you idiot"))
-    assert g.score(None) < 0.5 < g.score(g.patterns("you idiot"))
+def plain_score(g, text):
+    """The grammar read off the definition: for each insult or threat, what stands around it in its clause."""
+    t, n, z = toxicity, 0, float(g.weights[0])
+    for clause in t.clauses_of(text):
+        kinds = [g.symbol(w) for w in clause]
+        for i, kind in enumerate(kinds):
+            if kind not in (t.INSULT, t.THREAT, t.SLIGHT):
+                continue
+            aimed = t.TARGET in kinds[max(0, i - t.TARGET_REACH) : i] + kinds[i + 1 : i + 1 + t.TARGET_REACH]
+            denied = t.NEGATION in kinds[max(0, i - t.NEGATION_REACH) : i]
+            quoted = t.REPORT in kinds[:i]
+            code = kind + t.TARGETED * aimed + t.NEGATED * denied + t.REPORTED_MARK * quoted
+            z += t.DECAY[min(n, 3)] * g.weights[1 + t.MATCHED.index(code)]
+            n += 1
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def test_toxicity_held_out(spark):
+def test_grammar_patterns():
+    g = toxicity.Grammar(words=toxicity.seeds())
+    t = toxicity
+    assert g.patterns("An idiot.") == [t.INSULT] and g.patterns("You idiot!") == [t.INSULT | t.TARGETED] == g.patterns("what an idiot you are")
+    assert g.patterns("Never an idiot.") == [t.INSULT | t.NEGATED] and g.patterns("Critics said idiot.") == [t.INSULT | t.REPORTED_MARK] and g.patterns("They will kill again") == [t.THREAT | t.TARGETED]
+    assert g.patterns("Not here. An idiot") == [t.INSULT]  # a negation ends with its clause
+    assert g.patterns("you walk along a very long and winding road, idiot") == [t.INSULT]  # a target out of reach
+    assert g.patterns("he said you are not an idiot") == [t.INSULT | t.TARGETED | t.NEGATED | t.REPORTED_MARK]
+    assert g.score_text("never an idiot") < g.score_text("an idiot") < g.score_text("you idiot")
+    assert g.score([]) < 0.5 < g.score_text("you idiot")
+    for quoted in ("you are an 'idiot'", "'idiot,' you", "you 'moron'"):
+        assert g.score_text(quoted) == g.score_text("you are an idiot")
+
+
+def test_composition_is_the_chain_of_its_parts():
+    """The product machine writes, weighs and moves as its parts do one after the other."""
+    rng = np.random.default_rng(2)
+    t = toxicity
+    parts = [t.within(t.TARGET, 5, t.TARGETED), t.within(t.NEGATION, 3, t.NEGATED), t.once(t.REPORT, t.REPORTED_MARK), t.scoring(rng.random(len(t.MATCHED)))]
+    whole = parts[0].then(parts[1]).then(parts[2]).then(parts[3])
+    at, state = [0] * len(parts), 0
+    for x in rng.integers(0, 8, 3000):
+        y, w = int(x), 0.0
+        for k, m in enumerate(parts):
+            y, w, at[k] = int(m.out[at[k], y]), w + m.weight[at[k], y], int(m.next[at[k], y])
+        assert whole.out[state, x] == y and whole.weight[state, x] == pytest.approx(w)
+        state = int(whole.next[state, x])
+
+
+def test_scores_equal_the_plain_reading(spark, data):
+    """Every text of the table, under a grammar learned from it, and made-up clauses."""
+    docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
+    g = toxicity.learn(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, g).collect()}
+    want = {r.doc_id: plain_score(g, r.text or "") for r in docs.collect()}
+    assert got == pytest.approx(want, abs=1e-12) and len(set(got.values())) > 1
+    rng, vocabulary = np.random.default_rng(1), [*toxicity.seeds(), "word", "other", ".", ";", "road"]
+    seeds = toxicity.Grammar(words=toxicity.seeds())
+    for _ in range(300):
+        text = " ".join(rng.choice(vocabulary, rng.integers(0, 30)))
+        assert seeds.score_text(text) == pytest.approx(plain_score(seeds, text), abs=1e-12)
+
+
+def test_toxicity_held_out(spark, data):
     from inkstream.llm.queries import op7_toxicity
 
-    folder = "/root/testdata/sf0.01"
+    folder = os.path.join(os.path.dirname(data), "sf0.01")  # the smallest has too few toxic rows
     got = op7_toxicity(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").toPandas()
     assert (got.predicted == got.toxic).mean() > 0.93 and got.score.between(0, 1).all()
 
@@ -354,7 +405,7 @@ def test_copies_do_not_make_insults(spark):
     labels = [(i, int(i % 4 == 0 if i < 1000 else i < 2000)) for i, _ in docs]
     g = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert g.words.get("grelk") == g.words.get("snovit") == toxicity.INSULT and "harbour" not in g.words
-    assert g.score(g.patterns(text(False) + " harbour")) < 0.5 < g.score(g.patterns("some grelk here"))
+    assert g.score_text(text(False) + " harbour") < 0.5 < g.score_text("you grelk")
 
 
 def test_prefilter_changes_no_score(spark):
@@ -362,7 +413,7 @@ def test_prefilter_changes_no_score(spark):
     g = toxicity.Grammar(words={**toxicity.seeds(), "bête": toxicity.INSULT}, stems=frozenset({"grel"}))
     texts = ["'idiot'", "He called them 'you moron'.", "'kill", "idiots' idiot'", "'''loser'''!", "l' 'grelk'", "'bête'", "an idiot.moron", "fine' words'", "o'idiot", "'", "", None, "Not 'an idiot'; you 'scum'", "ΟΣ.Α 'stupid'"]
     got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), g).collect()}
-    assert got == pytest.approx({i: g.score(g.patterns(t or "")) for i, t in enumerate(texts)}) and got[0] > g.score(None)
+    assert got == pytest.approx({i: g.score_text(t or "") for i, t in enumerate(texts)}) and got[0] > g.score([])
 
 
 def test_toxicity_edges(spark, edge, empty):
