@@ -2,9 +2,10 @@
 
 A byte is removed if it lies in a string of ``length`` bytes that also starts in a
 document with a smaller id. The suffix array is sparse: of all positions only
-anchors are sorted. A string's anchor is the position of its least ``k``-byte hash
-(leftmost on ties), so equal strings have equal anchors at equal offsets, and one
-sorted suffix stands for all strings anchored there.
+anchors are sorted, so this is not a full suffix array: a string's anchor is the position of its least ``k``-byte hash
+(leftmost on ties), equal strings have equal anchors at equal offsets, and one
+sorted suffix stands for all strings anchored there. Hashes only choose anchors, partitions and what can't match;
+that two strings are equal is decided by their bytes.
 
 1. Texts are packed into blocks. Every block sends the hashes at its anchors, once
    each; an anchor whose ``k`` bytes occur in one document only can't match and stops
@@ -21,9 +22,12 @@ sorted suffix stands for all strings anchored there.
 4. Blocks get their answers and remove the bytes.
 
 Scale: no document is compared with another; a passage in a third of all documents is
-one suffix for each block. Work is linear in the text besides the sort. Blocks are
+one suffix for each block. Bytes moved and work are linear in the text besides the sort. Blocks are
 materialised in the shared folder and bounded by ``block_bytes`` (or one text); merge
-parts hold about ``part_suffixes``. Blocks travel twice, compressed.
+parts hold about ``part_suffixes``. Blocks travel twice, compressed. What blocks and buckets (and blocks and parts) tell each other is
+one row for each pair of them: their number grows with the square of the input, and each shrinks alike, until every
+row holds one anchor; on very large inputs raise ``block_bytes``, ``bucket_anchors`` and ``part_suffixes`` together, as memory allows. Suffixes
+that share their first ``k`` bytes meet in one part: a common string of ``k`` bytes with many different contexts is one task.
 
 Edge cases: null text is empty; texts under ``length`` bytes keep all; documents that
 share an id never remove from each other; a null id counts as larger than all others;
@@ -403,9 +407,17 @@ def resolve(runs: list[tuple[np.ndarray, ...]], length: int) -> list[np.ndarray]
             continue
         key = _mix(block[live] * np.uint64(0xC2B2AE3D27D4EB4F) ^ _mix(group[live].astype(np.uint64)) ^ back[live])
         by = np.argsort(key, kind="stable")
-        cut = np.flatnonzero(np.concatenate(([True], key[by][1:] != key[by][:-1])))
-        low = np.minimum.reduceat(owner[live][by], cut)
-        hit = live[by][np.repeat(low, np.diff(np.append(cut, len(by)))) < owner[live][by]]
+        new = np.concatenate(([True], key[by][1:] != key[by][:-1]))
+        # equal keys must mean equal strings: the right part is equal by the merge's prefixes, the left part and the group are compared here
+        at = live[by]
+        alike = (block[at][1:] == block[at][:-1]) & (lefts[at[1:], reach - o :] == lefts[at[:-1], reach - o :]).all(1)
+        if not (alike | new[1:]).all():  # two strings under one key: sort by the bytes instead
+            by = np.lexsort((*lefts[live][:, reach - o :].T, block[live]))
+            at = live[by]
+            new = np.concatenate(([True], (block[at][1:] != block[at][:-1]) | (lefts[at[1:], reach - o :] != lefts[at[:-1], reach - o :]).any(1)))
+        cut = np.flatnonzero(new)
+        low = np.minimum.reduceat(owner[at], cut)
+        hit = at[np.repeat(low, np.diff(np.append(cut, len(by)))) < owner[at]]
         mask[order_t[hit]] |= np.uint32(1 << o)
     return [mask[a:z] for a, z in bounds]
 
