@@ -242,9 +242,11 @@ def buckets(nodes: DataFrame, trees: int, depth: int, threshold: Fraction, recal
 
 
 def stars(held: DataFrame) -> DataFrame:
-    """Links ``a, b`` that connect the nodes of each bucket, two for a node and bucket at most: each node to its smallest leader, and that one to its others."""
-    lead = held.groupBy("bucket").agg(F.min("node").alias("leader"))
-    found = held.join(lead, "bucket").where("node != leader").groupBy("node").agg(F.min("leader").alias("least"), F.collect_set("leader").alias("all"))
+    """Links ``a, b`` that connect the nodes of each bucket, two for a node and bucket at most: each node to its smallest leader, and that one to its others.
+
+    ``held``: node, leader (the smallest node of the bucket).
+    """
+    found = held.where("node != leader").groupBy("node").agg(F.min("leader").alias("least"), F.collect_set("leader").alias("all"))
     found = materialize(found, "stars")
     others = found.where(F.size("all") > 1).select(F.explode(F.array_remove("all", F.col("least"))).alias("a"), F.col("least").alias("b"))
     return found.select(F.col("node").alias("a"), F.col("least").alias("b")).union(others.distinct())
@@ -262,8 +264,8 @@ def routes(nodes: DataFrame, held: DataFrame, block_nodes: int, block_shingles:
     blocks = lambda m, w: F.greatest(F.ceil(m / block_nodes), F.ceil(w / block_shingles)).cast("int")
     stats = per.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(3), "node"), 32)).alias("y"), F.min("node").alias("leader"))
     kept = materialize(stats.groupBy("m", "w", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("leader").alias("leader")), "kept")
-    held = materialize(held.join(kept.select("bucket", "m", "w"), "bucket"), "held")
-    groups = materialize(components(stars(held.select("node", "bucket"))), "groups")
+    held = materialize(held.join(kept.select("bucket", "m", "w", "leader"), "bucket"), "held")
+    groups = materialize(components(stars(held.select("node", "leader"))), "groups")
     member = held.select("node").distinct().join(groups.select("node", F.col("label").alias("comp")), "node").join(nodes.select("node", "n_shingles"), "node")
     whole = member.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
     split = kept.join(groups.select(F.col("node").alias("leader"), F.col("label").alias("comp")), "leader").groupBy("comp").agg(F.sum(F.col("m") * blocks(F.col("m"), F.col("w"))).alias("sent"))
