@@ -52,15 +52,15 @@ HEADING_BEFORE_MS, HEADING_AFTER_MS, BREAK_AFTER_MS = 600, 800, 1200
 MID_MS, DIALOGUE_MS, NARRATION_LAST_MS, PARAGRAPH_MS = 220, 450, 300, 650
 TARGET_WORDS, MAX_WORDS = 28, 55
 
-# Pacing presets: sentence, comma, semicolon, colon, dash, ellipsis, paragraph, turnaround, chapter pauses; speed.
-PACING_FIELDS = "sentence_pause_ms comma_pause_ms semicolon_pause_ms colon_pause_ms dash_pause_ms ellipsis_pause_ms paragraph_pause_ms dialogue_turnaround_ms chapter_pause_ms speed_multiplier".split()
+# Pacing presets.
 PACING = {
-    "normal": (220, 75, 140, 150, 320, 370, 650, 400, 1200, 1.0),
-    "brisk": (160, 50, 100, 110, 220, 280, 450, 280, 800, 1.10),
-    "dramatic": (280, 90, 180, 200, 400, 500, 800, 500, 1500, 0.95),
-    "cinematic": (320, 100, 200, 220, 450, 550, 900, 550, 1800, 0.92),
-    "contemplative": (380, 120, 220, 250, 500, 650, 1100, 650, 2200, 0.88),
+    "normal": {"sentence_pause_ms": 220, "comma_pause_ms": 75, "semicolon_pause_ms": 140, "colon_pause_ms": 150, "dash_pause_ms": 320, "ellipsis_pause_ms": 370, "paragraph_pause_ms": 650, "dialogue_turnaround_ms": 400, "chapter_pause_ms": 1200, "speed_multiplier": 1.0},
+    "brisk": {"sentence_pause_ms": 160, "comma_pause_ms": 50, "semicolon_pause_ms": 100, "colon_pause_ms": 110, "dash_pause_ms": 220, "ellipsis_pause_ms": 280, "paragraph_pause_ms": 450, "dialogue_turnaround_ms": 280, "chapter_pause_ms": 800, "speed_multiplier": 1.1},
+    "dramatic": {"sentence_pause_ms": 280, "comma_pause_ms": 90, "semicolon_pause_ms": 180, "colon_pause_ms": 200, "dash_pause_ms": 400, "ellipsis_pause_ms": 500, "paragraph_pause_ms": 800, "dialogue_turnaround_ms": 500, "chapter_pause_ms": 1500, "speed_multiplier": 0.95},
+    "cinematic": {"sentence_pause_ms": 320, "comma_pause_ms": 100, "semicolon_pause_ms": 200, "colon_pause_ms": 220, "dash_pause_ms": 450, "ellipsis_pause_ms": 550, "paragraph_pause_ms": 900, "dialogue_turnaround_ms": 550, "chapter_pause_ms": 1800, "speed_multiplier": 0.92},
+    "contemplative": {"sentence_pause_ms": 380, "comma_pause_ms": 120, "semicolon_pause_ms": 220, "colon_pause_ms": 250, "dash_pause_ms": 500, "ellipsis_pause_ms": 650, "paragraph_pause_ms": 1100, "dialogue_turnaround_ms": 650, "chapter_pause_ms": 2200, "speed_multiplier": 0.88},
 }
+PACING_FIELDS = list(PACING["normal"])
 
 # Voice profiles: primary voice, secondary voices by gender, pacing, rate offset.
 PROFILES = {
@@ -90,6 +90,16 @@ MOCK_HZ = {
 MOCK_WORDS_PER_SECOND = 3.2
 SAMPLE_RATE = 24000
 
+# What counts as speech: least level, band in Hz, and for each measure the least and most allowed and the digits reported.
+SPEECH_LEVEL = 150.0
+SPEECH_BAND_HZ = (80.0, 4000.0)
+SPEECH_LIMITS = {"zcr_hz": (30.0, 4500.0, 1), "speech_band_ratio": (0.50, float("inf"), 4), "spectral_crest_factor": (1.8, float("inf"), 2)}
+
+# A byline in a page, a quotation in a paragraph, words that lead into a speech tag.
+BYLINE = r"([A-Za-z0-9\s,'’\-]+)\s+--\s+(?:a\s+novelette\s+)?by\s+([A-Za-z0-9\s.\-]+)"
+QUOTED = '[“"][^”"]+[”"]'
+LEAD_IN = r"^(?:and|as|then|while|with)\s+"
+
 # Tags dropped with their content, and tags that hold text.
 DROPPED_TAGS = "script style nav footer aside header form noscript".split()
 TEXT_TAGS = "h1 h2 h3 h4 p blockquote".split()

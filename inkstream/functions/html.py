@@ -14,7 +14,6 @@ from inkstream import fixed
 from inkstream.functions.text import strip, sub, word_count
 
 TITLE, AUTHOR = "Web Article", "Unknown Author"
-BYLINE = r"([A-Za-z0-9\s,'’\-]+)\s+--\s+(?:a\s+novelette\s+)?by\s+([A-Za-z0-9\s.\-]+)"
 #: Entities that text in practice holds.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
@@ -48,7 +47,7 @@ def page_author(html: Column) -> Column:
 
 def byline(html: Column, title: Column, author: Column) -> tuple[Column, Column]:
     """Title and author, overridden by a line ``Title -- by Author``."""
-    t, a = (strip(F.regexp_extract(html, f"(?i){BYLINE}", k)) for k in (1, 2))
+    t, a = (strip(F.regexp_extract(html, f"(?i){fixed.BYLINE}", k)) for k in (1, 2))
     return F.when((t != "") & ~F.lower(title).startswith("infinity"), t).otherwise(title), F.when(a != "", a).otherwise(author)
 
 
@@ -62,6 +61,12 @@ def blocks(html: Column) -> Column:
     return F.filter(F.transform(found, as_block), lambda b: b["text"] != "")
 
 
+def paragraph_words(blocks: Column) -> tuple[Column, Column]:
+    """Words and number of the paragraphs among blocks."""
+    paragraphs = F.filter(blocks, lambda b: b["tag"] == "p")
+    return F.aggregate(paragraphs, F.lit(0).cast("long"), lambda n, b: n + word_count(b["text"])), F.size(paragraphs).cast("long")
+
+
 def block_line(block: Column) -> Column:
     """A block as a line of a manuscript; headings and short bold paragraphs open a chapter."""
     heading = block["tag"].rlike(r"^h[1-4]$") | ((block["tag"] == "p") & block["bold"] & (word_count(block["text"]) <= 10))
@@ -122,7 +127,7 @@ def read_page(html: str) -> tuple[str, str, str]:
     text = lambda n: "".join(n["text"]).strip()
     title = next((text(n) for n in live if n["tag"] == "title"), "") or TITLE
     author = tree.author or AUTHOR
-    line = re.search(BYLINE, html or "", re.I)
+    line = re.search(fixed.BYLINE, html or "", re.I)
     if line:
         if line.group(1).strip() and not title.lower().startswith("infinity"):
             title = line.group(1).strip()
@@ -151,4 +156,4 @@ def parse_html(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_page(h) for h in html], columns=["title", "author", "prose"])
 
 
-__all__ = ["block_line", "blocks", "byline", "drop_boilerplate", "page_author", "page_title", "parse_html", "read_page", "strip_tags", "unescape"]
+__all__ = ["block_line", "blocks", "paragraph_words", "byline", "drop_boilerplate", "page_author", "page_title", "parse_html", "read_page", "strip_tags", "unescape"]

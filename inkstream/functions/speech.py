@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkstream import fixed
-from inkstream.functions.text import W, WS, strip, sub
+from inkstream.functions.text import W, WS, is_title, let, strip, sub, words
 
 VERB = rf"(?i)(?<!{W})({'|'.join(fixed.SPEECH_VERBS)})(?!{W})"
 
@@ -32,6 +32,15 @@ def tag_candidate(sentence: Column) -> Column:
     return F.when(speech_verb(sentence).isNotNull(), strip(F.element_at(F.split(who, ","), 1)))
 
 
+def names(text: Column) -> Column:
+    """Capitalised names of one or two tokens, from each token on; stop words are none."""
+    bare = F.transform(words(text), lambda w: sub(w, rf"[^{W[1:-1]}]", ""))
+    marked = F.transform(bare, lambda b: F.struct(b.alias("b"), (is_title(b) & ~F.lower(b).isin(*fixed.STOP_WORDS)).alias("named")))
+    pair = lambda all_, x, i: F.when(F.coalesce(F.get(all_, i + 1)["named"], F.lit(False)), F.concat(x["b"], F.lit(" "), F.get(all_, i + 1)["b"])).otherwise(x["b"])
+    found = let(marked, lambda all_: F.transform(all_, lambda x, i: F.when(x["named"], pair(all_, x, i))))
+    return F.filter(found, lambda n: n.isNotNull())
+
+
 def gender(name: Column, context: Column) -> Column:
     """As attribution guesses it for a character not known yet."""
     tokens, low = F.split(F.lower(name), f"{WS}+"), F.lower(name)

@@ -10,6 +10,8 @@ from inkstream import fixed
 #: One blank, one word character.
 WS = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
 W = r"[\p{L}\p{N}_]"
+#: All blanks of WS, as characters.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def sub(text: Column, pattern: str, replacement: str) -> Column:
@@ -23,25 +25,30 @@ def let(value: Column, body) -> Column:
 
 def strip(text: Column) -> Column:
     """Without blanks of any kind at both ends."""
-    return sub(text, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def words(text: Column) -> Column:
     """Words between blanks."""
-    return F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"{WS}+"), "")
 
 
 def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def longer_than(text: Column, n: int) -> Column:
+    """Whether a text has over ``n`` words; words are counted only where the text is long enough for that many."""
+    return F.when(F.length(text) <= 2 * n, False).otherwise(word_count(text) > n)
+
+
 def canonical_newlines(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def join_hyphens(text: Column) -> Column:
     """A word broken by a hyphen at the end of a line becomes one word."""
-    return sub(text, rf"({W}+)-\n({W}+)", "$1$2")
+    return F.when(F.contains(text, F.lit("-\n")), sub(text, rf"(?<!{W})({W}++)-\n({W}++)", "$1$2")).otherwise(text)
 
 
 def join_soft_wraps(text: Column) -> Column:
@@ -50,7 +57,7 @@ def join_soft_wraps(text: Column) -> Column:
 
 
 def squeeze_blanks(text: Column) -> Column:
-    return sub(text, "[ \\t]+", " ")
+    return sub(text, "[ \\t]{2,}|\\t", " ")  # single blanks stay as they are
 
 
 def squeeze_blank_lines(text: Column) -> Column:
@@ -66,13 +73,17 @@ def clean_prose(text: Column) -> Column:
 
 
 def expand_honorifics(text: Column) -> Column:
+    def spelled(short: str, long: str):
+        # a pass over a text only where the abbreviation occurs
+        return lambda t: F.when(F.contains(t, F.lit(f"{short}.")), sub(t, rf"{short}\.(?<!{W}{short}\.){WS}+", f"{long} ")).otherwise(t)
+
     for short, long in fixed.HONORIFICS:
-        text = sub(text, rf"(?<!{W}){short}\.{WS}+", f"{long} ")
+        text = let(text, spelled(short, long))
     return text
 
 
 def drop_thousands_commas(text: Column) -> Column:
-    return sub(text, rf"(?<=\p{{Nd}}),(?=\p{{Nd}}{{3}}(?!{W}))", "")
+    return sub(text, rf",(?<=\p{{Nd}},)(?=\p{{Nd}}{{3}}(?!{W}))", "")
 
 
 def space_dashes(text: Column) -> Column:
@@ -84,7 +95,7 @@ def squeeze_ellipses(text: Column) -> Column:
 
 
 def collapse_blanks(text: Column) -> Column:
-    return strip(sub(text, f"{WS}+", " "))
+    return strip(sub(text, rf"{WS}{{2,}}|(?! ){WS}", " "))  # single blanks stay as they are
 
 
 def normalize_text(text: Column) -> Column:

@@ -26,7 +26,7 @@ VERBS, STOPS = frozenset(fixed.SPEECH_VERBS), frozenset(fixed.STOP_WORDS)
 MALE, FEMALE = frozenset(fixed.MALE_TITLES), frozenset(fixed.FEMALE_TITLES)
 SHE, HE = frozenset(("she", "her", "hers")), frozenset(("he", "him", "his"))
 RUN = re.compile(r"\w+")
-LEAD_IN = re.compile(r"^(?:and|as|then|while|with)\s+", re.I)
+LEAD_IN = re.compile(fixed.LEAD_IN, re.I)
 PRONOUNS = {"she": "female", "her": "female", "herself": "female", "he": "male", "him": "male", "himself": "male"}
 
 
@@ -202,17 +202,25 @@ def neighbours(edges: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return both.groupBy(id_col, "name").agg(F.sort_array(F.collect_set("peer")).alias("interacts_with"))
 
 
+def heard(lines: DataFrame, id_col: str = "doc_id", speaker_col: str = "character") -> DataFrame:
+    """``doc_id, name, line_count, heard_gender`` (the first known), ``interacts_with``, from one pass over the lines."""
+    other = F.nullif(F.lag(speaker_col).over(Window.partitionBy(id_col).orderBy("seq")), F.col(speaker_col))
+    known = F.when(F.col("gender") != UNKNOWN, F.col("seq"))
+    told = F.struct(F.col(speaker_col).alias("name"), F.lit(1).alias("said"), F.col("gender").alias("gender"), known.alias("known"), F.col("other").alias("peer"))
+    answered = F.struct(F.col("other").alias("name"), F.lit(0).alias("said"), F.lit(None).cast("string").alias("gender"), F.lit(None).cast(lines.schema["seq"].dataType).alias("known"), F.col(speaker_col).alias("peer"))
+    parts = lines.withColumn("other", other).select(id_col, F.inline(F.array(told, answered))).where("name is not null")
+    return parts.groupBy(id_col, "name").agg(F.sum("said").alias("line_count"), F.min_by("gender", "known").alias("heard_gender"), F.sort_array(F.collect_set("peer")).alias("interacts_with"))
+
+
 def characters(attributed: DataFrame, cast: list[Member] | None = None, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, name, gender, line_count, assigned_voice, aliases, interacts_with``: cast members first, then whoever spoke."""
-    lines = spoken_lines(attributed)
-    heard = lines.groupBy(id_col, F.col("character").alias("name")).agg(F.count("*").alias("line_count"), F.min_by("gender", F.when(F.col("gender") != UNKNOWN, F.col("seq"))).alias("heard_gender"))
+    merged = heard(spoken_lines(attributed), id_col)
     if cast:
         member = lambda m: F.struct(F.lit(m.name).alias("name"), F.lit(m.gender).alias("own_gender"), F.lit(m.voice).cast("string").alias("assigned_voice"), F.array(*map(F.lit, m.aliases)).cast("array<string>").alias("aliases"))
         given = attributed.select(id_col).distinct().select(id_col, F.inline(F.array(*map(member, cast))))
-        heard = heard.join(given, [id_col, "name"], "full_outer")
+        merged = merged.join(given, [id_col, "name"], "full_outer")
     else:
-        heard = heard.withColumns({"own_gender": F.lit(None).cast("string"), "assigned_voice": F.lit(None).cast("string"), "aliases": F.lit(None).cast("array<string>")})
-    merged = heard.join(neighbours(interactions(lines, id_col), id_col), [id_col, "name"], "left")
+        merged = merged.withColumns({"own_gender": F.lit(None).cast("string"), "assigned_voice": F.lit(None).cast("string"), "aliases": F.lit(None).cast("array<string>")})
     gender = F.coalesce(F.nullif(F.col("own_gender"), F.lit(UNKNOWN)), F.col("heard_gender"), F.lit(UNKNOWN))
     return merged.select(
         id_col, "name", gender.alias("gender"), F.coalesce("line_count", F.lit(0).cast("long")).alias("line_count"), "assigned_voice",

@@ -40,20 +40,29 @@ def colour(names: list[str], genders: list[str], lines: list[int], locked: list[
     return voices
 
 
-def cast_voices(characters: DataFrame, backend: str = "gemini", narrator: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, role, voice`` for every document with a character."""
+def cast_voices(characters: DataFrame, backend: str = "gemini", narrator: str | None = None, id_col: str = "doc_id", documents: DataFrame | None = None) -> DataFrame:
+    """``doc_id, role, voice`` for every document with a character; with ``documents``, for all of those: without characters they get the reserved roles."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("name")
+        doc_id = pdf[id_col].iloc[0]
+        pdf = pdf[pdf.name.notna()].sort_values("name")
         locked = [v if isinstance(v, str) and v else None for v in pdf.assigned_voice]
         found = colour(pdf.name.tolist(), pdf.gender.tolist(), pdf.line_count.tolist(), locked, [list(p) for p in pdf.interacts_with], backend, narrator)
-        return pd.DataFrame({id_col: pdf[id_col].iloc[0], "role": list(found), "voice": list(found.values())})
+        return pd.DataFrame({id_col: doc_id, "role": list(found), "voice": list(found.values())})
 
-    return characters.select(id_col, "name", "gender", "line_count", "assigned_voice", "interacts_with").groupBy(id_col).applyInPandas(one, f"{id_col} long, role string, voice string")
+    rows = characters.select(id_col, "name", "gender", "line_count", "assigned_voice", "interacts_with")
+    if documents is not None:
+        rows = documents.select(id_col).distinct().join(rows, id_col, "left")
+    return rows.groupBy(id_col).applyInPandas(one, f"{id_col} long, role string, voice string")
 
 
-def conflicts(edges: DataFrame, voices: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Partners that share a voice."""
+def partners(edges: DataFrame, voices: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Partners with the voice of each."""
     a = voices.select(id_col, F.col("role").alias("a"), F.col("voice").alias("voice_a"))
     b = voices.select(id_col, F.col("role").alias("b"), F.col("voice").alias("voice_b"))
-    return edges.join(a, [id_col, "a"]).join(b, [id_col, "b"]).where("voice_a = voice_b")
+    return edges.join(a, [id_col, "a"]).join(b, [id_col, "b"])
+
+
+def conflicts(edges: DataFrame, voices: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Partners that share a voice."""
+    return partners(edges, voices, id_col).where("voice_a = voice_b")

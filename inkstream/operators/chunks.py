@@ -11,7 +11,6 @@ from inkstream import fixed
 from inkstream.functions import text as T
 from inkstream.operators.chapters import compose
 
-QUOTED = '[“"][^”"]+[”"]'
 BREAKS = ("*", "* * *", "---", "***")
 HEADING, BREAK, DIALOGUE, NARRATION = "heading", "section_break", "dialogue", "narration"
 
@@ -31,7 +30,7 @@ class Pauses:
     @classmethod
     def of_pacing(cls, mode: str) -> Pauses:
         """Pauses as a pacing preset has them."""
-        own = dict(zip(fixed.PACING_FIELDS, fixed.PACING.get(mode, fixed.PACING["normal"]), strict=True))
+        own = fixed.PACING.get(mode, fixed.PACING["normal"])
         return cls(section=own["chapter_pause_ms"], mid=own["sentence_pause_ms"], dialogue=own["dialogue_turnaround_ms"], narration_last=own["sentence_pause_ms"], paragraph=own["paragraph_pause_ms"])
 
 
@@ -41,7 +40,7 @@ def segments(paragraph: Column) -> Column:
     A quotation may open and close with straight or curly quotes in any mix; an
     unmatched opening quote stays narration.
     """
-    gaps, quotes = F.split(paragraph, QUOTED, -1), F.regexp_extract_all(paragraph, F.lit(QUOTED), F.lit(0))
+    gaps, quotes = F.split(paragraph, fixed.QUOTED, -1), F.regexp_extract_all(paragraph, F.lit(fixed.QUOTED), F.lit(0))
     pair = F.zip_with(
         gaps, quotes, lambda g, q: F.array(F.struct(T.strip(g).alias("text"), F.lit(NARRATION).alias("chunk_type")), F.struct(T.strip(F.substring(q, F.lit(2), F.length(q) - 2)).alias("text"), F.lit(DIALOGUE).alias("chunk_type")))
     )
@@ -80,7 +79,7 @@ def segment_chunks(segment: Column, target: int, most: int, pauses: Pauses) -> C
     whole = F.array(_chunk(text, kind, F.lit(0), F.when(spoken, pauses.dialogue).otherwise(pauses.mid)))
     last = F.when(spoken, pauses.dialogue).otherwise(pauses.narration_last)
     many = T.let(pack(text, target), lambda packs: F.transform(packs, lambda p, i: _chunk(p, kind, F.lit(0), F.when(i == F.size(packs) - 1, last).otherwise(pauses.mid))))
-    return F.when(T.word_count(text) <= most, whole).otherwise(many)
+    return F.when(T.longer_than(text, most), many).otherwise(whole)
 
 
 def paragraph_chunks(paragraph: Column, target: int = fixed.TARGET_WORDS, most: int = fixed.MAX_WORDS, pauses: Pauses = Pauses()) -> Column:
@@ -104,3 +103,15 @@ def chunk_chapters(chapters: DataFrame, target: int = fixed.TARGET_WORDS, most:
 def with_sequence(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Adds ``seq``, the place in the document from 0."""
     return chunks.withColumn("seq", (F.row_number().over(Window.partitionBy(id_col).orderBy("chapter_index", "chunk_index")) - 1).cast("long"))
+
+
+def with_neighbours(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Adds ``previous`` and ``following``: the narration right before and after, null where something else stands."""
+    order = Window.partitionBy(id_col).orderBy("seq")
+    told = F.when(F.col("chunk_type") == NARRATION, F.col("text"))
+    return chunks.withColumns({"previous": F.lag(told).over(order), "following": F.lead(told).over(order)})
+
+
+def totals(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Pauses and number of chunks of each chapter."""
+    return chunks.groupBy(id_col, "chapter_index").agg(F.sum("pause_before_ms").alias("before_ms"), F.sum("pause_after_ms").alias("after_ms"), F.count("*").alias("chunks"))

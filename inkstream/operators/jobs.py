@@ -35,6 +35,23 @@ def progress_percent(done: Column, total: Column) -> Column:
     return F.round(done / F.greatest(F.lit(1), total) * 100, 1)
 
 
+def progress(events: DataFrame) -> DataFrame:
+    """``job_id, done, total, percent``: completed events among all of a job."""
+    counted = events.groupBy("job_id").agg(F.count(F.when(F.col("state") == "COMPLETE", 1)).alias("done"), F.count("*").alias("total"))
+    return counted.withColumn("percent", progress_percent(F.col("done"), F.col("total")))
+
+
+def find(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The jobs with the ids in ``wanted`` (``job_id``); an id without a job gets state ``NOT_FOUND``."""
+    rest = [c for c in jobs.columns if c not in ("job_id", "state")]
+    return wanted.select("job_id").distinct().join(jobs, "job_id", "left").select("job_id", *rest, F.coalesce("state", F.lit("NOT_FOUND")).alias("state"))
+
+
+def status_json(jobs: DataFrame, *fields: str) -> DataFrame:
+    """``job_id, response``: the answer to a request for a job's status."""
+    return jobs.select("job_id", F.to_json(F.struct("job_id", *fields)).alias("response"))
+
+
 def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 

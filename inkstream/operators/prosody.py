@@ -70,7 +70,7 @@ def apply(chunks: DataFrame, profile: Profile, speed: float = 1.0, override: Col
 
 def pacing_table(spark: SparkSession) -> DataFrame:
     kinds = ", ".join(f"{f} {'double' if f == 'speed_multiplier' else 'int'}" for f in fixed.PACING_FIELDS)
-    return spark.createDataFrame([(mode, *values) for mode, values in fixed.PACING.items()], f"mode string, {kinds}")
+    return spark.createDataFrame([(mode, *values.values()) for mode, values in fixed.PACING.items()], f"mode string, {kinds}")
 
 
 def with_pacing(rows: DataFrame, mode_col: str) -> DataFrame:

@@ -44,7 +44,7 @@ def player_chapters(marks: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def data_uri(data: Column, path: Column) -> Column:
-    return F.concat(F.lit("data:"), mime_type(path), F.lit(";base64,"), F.base64(data))
+    return F.concat(F.lit("data:"), mime_type(path), F.lit(";base64,"), F.replace(F.base64(data), F.lit("\r\n"), F.lit("")))
 
 
 PAGE = """<!DOCTYPE html>

@@ -39,12 +39,17 @@ def mock_samples(words: Column) -> Column:
     return F.greatest(F.lit(240), (F.greatest(F.lit(1), words) / F.lit(MOCK_WORDS_PER_SECOND) * SAMPLE_RATE).cast("int"))
 
 
+def missing(work: DataFrame, cache: DataFrame) -> DataFrame:
+    """The rows whose key has no sound in the cache; an empty sound is none."""
+    return work.join(cache.where(F.length("pcm") > 0).select("key"), "key", "left_anti")
+
+
 def speak(chunks: DataFrame, engine: Engine, cache: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """New rows for the cache: ``key, pcm, n_samples`` (after trimming), ``error``; each distinct sound is made once. Failures become silence with the error told."""
     work = chunks.where(~is_silent()).withColumn("key", cache_key(engine.name)).select("key", "text", "chunk_type", "character", "voice", "ssml_rate", "ssml_pitch", "pause_after_ms")
     work = work.groupBy("key").agg(*[F.first(c).alias(c) for c in work.columns if c not in ("key", "pause_after_ms")], F.max("pause_after_ms").alias("pause_after_ms"))
     if cache is not None:
-        work = work.join(cache.where(F.length("pcm") > 0).select("key"), "key", "left_anti")
+        work = missing(work, cache)
     # rows are few and each is costly, so they must not be merged into a few tasks by their size in bytes
     spark = chunks.sparkSession
     work = work.repartition(partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key")
@@ -67,10 +72,15 @@ def speak(chunks: DataFrame, engine: Engine, cache: DataFrame | None = None, par
     return work.mapInPandas(run, AUDIO)
 
 
+def held(cache: DataFrame) -> DataFrame:
+    """``key, n_samples``, once for each key: runs at the same time may append the same sound twice."""
+    return cache.groupBy("key").agg(F.max("n_samples").alias("n_samples"))
+
+
 def with_lengths(chunks: DataFrame, engine: Engine, cache: DataFrame) -> DataFrame:
     """Adds ``n_samples`` after trimming (null if the sound is missing, 0 for silence); no audio moves."""
     keyed = chunks.withColumn("key", F.when(~is_silent(), cache_key(engine.name)))
-    joined = keyed.join(cache.select("key", "n_samples"), "key", "left")
+    joined = keyed.join(held(cache), "key", "left")
     return joined.withColumn("n_samples", F.when(is_silent(), 0).otherwise(F.col("n_samples"))).drop("key")
 
 
@@ -78,4 +88,4 @@ def with_audio(chunks: DataFrame, engine: Engine, cache: DataFrame) -> DataFrame
     """Adds ``pcm`` (null if missing) and ``error``; silent chunks get silence of their pause."""
     keyed = chunks.withColumn("key", F.when(~is_silent(), cache_key(engine.name)))
     zeros = F.unhex(F.repeat(F.lit("0000"), ms_to_samples(F.col("pause_after_ms"))))
-    return keyed.join(cache.select("key", "pcm", "error"), "key", "left").withColumn("pcm", F.when(is_silent(), zeros).otherwise(F.col("pcm"))).drop("key")
+    return keyed.join(cache.groupBy("key").agg(F.max_by("pcm", F.length("pcm")).alias("pcm"), F.max_by("error", F.length("pcm")).alias("error")), "key", "left").withColumn("pcm", F.when(is_silent(), zeros).otherwise(F.col("pcm"))).drop("key")

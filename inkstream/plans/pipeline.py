@@ -53,7 +53,7 @@ class Config:
         return read_cast(self.characters or self.cast, self.open_listed_casts)
 
     def effective_speed(self) -> float:
-        preset = fixed.PACING.get(self.pacing_mode, fixed.PACING["normal"])[-1]
+        preset = fixed.PACING.get(self.pacing_mode, fixed.PACING["normal"])["speed_multiplier"]
         return preset if self.pacing_speed and self.speed == 1.0 else self.speed
 
 
@@ -94,7 +94,7 @@ class Pipeline:
         cut = chunks.with_sequence(chunks.chunk_chapters(parts, pauses=chunks.Pauses.of_pacing(c.pacing_mode) if c.pacing_pauses else chunks.Pauses()))
         attributed = settle(attribution.attribute(cut, c.members()))
         people = attribution.characters(attributed, c.members())
-        voices = casting.cast_voices(people, c.backend, c.voice)
+        voices = casting.cast_voices(people, c.backend, c.voice, documents=documents)
         roles = voices.select("doc_id", F.col("role").alias("character"), F.col("voice").alias("cast_voice"))
         joined = attributed.join(roles, ["doc_id", "character"], "left")
         wanted = F.coalesce(F.nullif(F.lit(c.dialogue_voice), F.lit("")), prosody.present(F.col("cast_voice")), F.lit(c.voice))

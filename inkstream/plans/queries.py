@@ -14,7 +14,7 @@ from inkstream.operators import attribution, cast_spec, casting, chapters, chunk
 from inkstream.plans import sql, views
 from inkstream.plans.pipeline import Config, Pipeline
 from inkstream.plans.views import JOB_EVENTS, SIGNAL, table
-from inkstream.sources import manuscripts
+from inkstream.sources import audio, manuscripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,7 +84,7 @@ def blank_squeeze(spark, sf_dir):
 
 @query(f"{K} SELECT doc_id, {sql.normalize('text')} AS spoken FROM knotted")
 def normalize_text(spark, sf_dir):
-    return knotted(spark, sf_dir).select("doc_id", T.normalize_text(F.col("text")).alias("spoken"))
+    return views.spread(knotted(spark, sf_dir)).select("doc_id", T.normalize_text(F.col("text")).alias("spoken"))
 
 
 @query(f"{K} SELECT doc_id, {sql.honorifics('text')} AS expanded FROM knotted")
@@ -176,7 +176,17 @@ def chunk_types(spark, sf_dir):
 
 @query(f"{sql.chunked('script')} SELECT doc_id, chapter_index, sum(pause_before_ms)::BIGINT AS before_ms, sum(pause_after_ms)::BIGINT AS after_ms, count(*) AS chunks FROM chunks GROUP BY ALL")
 def chunk_pauses(spark, sf_dir):
-    return script_chunks(spark, sf_dir).groupBy("doc_id", "chapter_index").agg(F.sum("pause_before_ms").alias("before_ms"), F.sum("pause_after_ms").alias("after_ms"), F.count("*").alias("chunks"))
+    return chunks.totals(script_chunks(spark, sf_dir))
+
+
+@query(f"{sql.chunked('mixed')} SELECT * FROM chunks")
+def chunk_mixed(spark, sf_dir):
+    return chunks.chunk_chapters(chapters.split_chapters(views.mixed(spark, sf_dir)))
+
+
+@query(f"{sql.chunked('mixed')} SELECT doc_id, chapter_index, title, word_count FROM chapters")
+def mixed_chapters(spark, sf_dir):
+    return chapters.split_chapters(manuscripts.from_table(views.mixed(spark, sf_dir), "doc_id", "raw_text")).select("doc_id", "chapter_index", "title", "word_count")
 
 
 @query(
@@ -198,19 +208,19 @@ def sentence_split(spark, sf_dir):
 
 @query(f"{sql.chunked('prose')} SELECT doc_id, chapter_index, pp::INT AS paragraph, count(DISTINCT pack) AS packs, max(wc)::BIGINT AS most_words FROM (SELECT *, {sql.word_count('text')} AS wc FROM packs) GROUP BY ALL")
 def sentence_pack(spark, sf_dir):
-    paras = _prose_chapters(spark, sf_dir).select("doc_id", "chapter_index", F.posexplode(T.paragraphs(chapters.compose(F.col("title"), F.col("content")))).alias("at", "p"))
-    long = paras.where(~F.col("p").startswith("#")).select("doc_id", "chapter_index", "at", F.explode(chunks.segments(F.col("p"))).alias("s")).where(T.word_count(F.col("s.text")) > fixed.MAX_WORDS)
+    found = chapters.split_chapters(views.spread(views.prose(spark, sf_dir)))
+    paras = found.select("doc_id", "chapter_index", F.posexplode(T.paragraphs(chapters.compose(F.col("title"), F.col("content")))).alias("at", "p"))
+    paras = paras.where(~F.col("p").startswith("#") & T.longer_than(F.col("p"), fixed.MAX_WORDS))
+    long = paras.select("doc_id", "chapter_index", "at", F.explode(chunks.segments(F.col("p"))).alias("s")).where(T.longer_than(F.col("s.text"), fixed.MAX_WORDS))
     packs = long.select("doc_id", "chapter_index", (F.col("at") + 1).alias("paragraph"), F.posexplode(chunks.pack(F.col("s.text"), fixed.TARGET_WORDS)).alias("k", "text"))
     return packs.groupBy("doc_id", "chapter_index", "paragraph").agg(F.countDistinct("k").alias("packs"), F.max(T.word_count(F.col("text"))).cast("long").alias("most_words"))
 
 
-@query(
-    f"""{sql.chunked('script')}, last AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chapter_index, pp ORDER BY k DESC, pack DESC) AS r FROM spoken WHERE chunk_type IN ('narration', 'dialogue'))
-SELECT doc_id, chapter_index, count(*) AS paragraphs, sum((after < {fixed.PARAGRAPH_MS})::INT)::BIGINT AS bumped FROM last WHERE r = 1 GROUP BY ALL"""
-)
+@query(f"{sql.chunked('mixed')} SELECT chunk_type, pause_after_ms, count(*) AS n FROM chunks GROUP BY ALL".replace(f"greatest(after, {fixed.PARAGRAPH_MS})", "greatest(after, 300)"))
 def paragraph_pause_bump(spark, sf_dir):
-    cut = script_chunks(spark, sf_dir).where(F.col("chunk_type").isin("narration", "dialogue") & (F.col("pause_after_ms") == fixed.PARAGRAPH_MS))
-    return cut.groupBy("doc_id", "chapter_index").agg(F.count("*").alias("paragraphs"), F.count("*").alias("bumped"))
+    """With a paragraph's pause between those of narration and dialogue: the last chunk of a paragraph is raised to it or already above."""
+    cut = chunks.chunk_chapters(chapters.split_chapters(views.mixed(spark, sf_dir)), pauses=chunks.Pauses(paragraph=300))
+    return cut.groupBy("chunk_type", "pause_after_ms").agg(F.count("*").alias("n"))
 
 
 # --- delivery ----------------------------------------------------------------------------------
@@ -245,7 +255,7 @@ def voice_cascade(spark, sf_dir):
     return rows.select("doc_id", "chapter_index", "chunk_index", prosody.voice(F.col("chunk_type"), F.col("gender"), F.col("character"), F.col("wanted"), PROFILE).alias("voice"))
 
 
-_PACING = ", ".join(f"('{m}', {v[0]}, {v[6]}, {v[8]}, {v[9]}::DOUBLE)" for m, v in fixed.PACING.items())
+_PACING = ", ".join(f"('{m}', {v['sentence_pause_ms']}, {v['paragraph_pause_ms']}, {v['chapter_pause_ms']}, {v['speed_multiplier']}::DOUBLE)" for m, v in fixed.PACING.items())
 
 
 @query(
@@ -311,22 +321,32 @@ def attributed(spark, sf_dir):
     return attribution.attribute(chunks.with_sequence(script_chunks(spark, sf_dir)))
 
 
-@query()
+@query(f"{sql.chunked('script')},{sql.SPEAKERS} SELECT doc_id, seq, character, gender, text FROM spoken_by")
 def attributed_dialogue(spark, sf_dir):
     return attributed(spark, sf_dir).where("chunk_type = 'dialogue'").select("doc_id", "seq", "character", "gender", "text")
 
 
-@query()
+@query(f"{sql.chunked('script')},{sql.SPEAKERS} SELECT * FROM profiles")
 def character_profiles(spark, sf_dir):
     return attribution.characters(attributed(spark, sf_dir)).select("doc_id", "name", "gender", "line_count", F.array_join("interacts_with", ",").alias("interacts_with"))
 
 
-@query()
+def _cast_sql(engine: str, locked: str = "NULL") -> str:
+    reserved = " UNION ALL ".join(f"SELECT DISTINCT doc_id, '{r}' AS role, '{fixed.VOICE_POOLS[engine]['narrator'][0]}' AS voice FROM profiles" for r in casting.RESERVED)
+    return f"{reserved} UNION ALL SELECT doc_id, name, coalesce({locked}, {sql.pool(engine)}) FROM ranked"
+
+
+@query(f"{sql.chunked('script')},{sql.SPEAKERS} {_cast_sql('gemini')}")
 def cast_voices(spark, sf_dir):
     return casting.cast_voices(attribution.characters(attributed(spark, sf_dir)), "gemini")
 
 
-@query()
+@query(
+    f"""{sql.chunked('script')},{sql.SPEAKERS}, docs AS (SELECT DISTINCT doc_id FROM chunks)
+SELECT doc_id, unnest(['Narrator', 'heading', 'section_break']) AS role, '{fixed.VOICE_POOLS['edge']['narrator'][0]}' AS voice FROM docs
+UNION ALL SELECT doc_id, 'Alice', 'Leda' FROM docs UNION ALL SELECT doc_id, 'The Narrator', '{fixed.VOICE_POOLS['edge']['neutral'][0]}' FROM docs
+UNION ALL SELECT doc_id, name, {sql.pool('edge')} FROM ranked WHERE name <> 'Alice'"""
+)
 def locked_cast(spark, sf_dir):
     members = cast_spec.read_cast(["Alice:female:Leda", "The Narrator:neutral"])
     people = attribution.characters(attribution.attribute(chunks.with_sequence(script_chunks(spark, sf_dir)), members), members)
@@ -341,14 +361,31 @@ def cast_conflicts(spark, sf_dir):
     return found.select("doc_id", "a", "b", F.col("voice_a").alias("voice"))
 
 
+@query(
+    f"""{sql.chunked('script')},{sql.SPEAKERS}, v AS (SELECT doc_id, name, {sql.pool('gemini')} AS voice FROM ranked)
+SELECT p.doc_id, p.name AS a, p.peer AS b, x.voice AS voice_a, y.voice AS voice_b FROM partners p JOIN v x ON x.doc_id = p.doc_id AND x.name = p.name JOIN v y ON y.doc_id = p.doc_id AND y.name = p.peer WHERE p.name < p.peer"""
+)
+def partner_voices(spark, sf_dir):
+    """Everyone who answers each other, with their voices."""
+    rows = attributed(spark, sf_dir)
+    voices = casting.cast_voices(attribution.characters(rows), "gemini")
+    return casting.partners(attribution.interactions(attribution.spoken_lines(rows)), voices).select("doc_id", "a", "b", "voice_a", "voice_b")
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({sql.q(e)}, {sql.q(k)}, {i}, {sql.q(v)})' for e, by in fixed.VOICE_POOLS.items() for k, vs in by.items() for i, v in enumerate(vs))}) t(engine, pool, pos, voice)")
+def voice_pools(spark, sf_dir):
+    return casting.pool_table(spark)
+
+
 def role_lines(spark, sf_dir):
     """Turns as lines, the role as speaker."""
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.col("role").alias("character"), "text")
+    g = F.when(F.col("turn") % 3 == 0, "unknown").when(F.length("text") % 2 == 0, "female").otherwise("male")
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.col("role").alias("character"), F.lit("dialogue").alias("chunk_type"), g.alias("gender"), "text")
 
 
 @query("SELECT conv_id AS doc_id, role AS character, count(*) AS line_count FROM conversations GROUP BY ALL")
 def speaker_lines(spark, sf_dir):
-    return role_lines(spark, sf_dir).groupBy("doc_id", "character").agg(F.count("*").alias("line_count"))
+    return attribution.characters(role_lines(spark, sf_dir)).select("doc_id", F.col("name").alias("character"), "line_count")
 
 
 _GENDERED = "SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN 'unknown' WHEN length(text) % 2 = 0 THEN 'female' ELSE 'male' END AS gender FROM conversations"
@@ -356,9 +393,7 @@ _GENDERED = "SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN 'unknown' W
 
 @query(f"SELECT conv_id AS doc_id, role AS character, coalesce(arg_min(gender, turn) FILTER (gender <> 'unknown'), 'unknown') AS gender FROM ({_GENDERED}) GROUP BY ALL")
 def speaker_gender(spark, sf_dir):
-    g = F.when(F.col("seq") % 3 == 0, "unknown").when(F.length("text") % 2 == 0, "female").otherwise("male")
-    first = F.min_by("gender", F.when(F.col("gender") != "unknown", F.col("seq")))
-    return role_lines(spark, sf_dir).withColumn("gender", g).groupBy("doc_id", "character").agg(F.coalesce(first, F.lit("unknown")).alias("gender"))
+    return attribution.characters(role_lines(spark, sf_dir)).select("doc_id", F.col("name").alias("character"), "gender")
 
 
 _EDGES = """WITH l AS (SELECT conv_id AS doc_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),
@@ -381,10 +416,7 @@ def neighbours(spark, sf_dir):
 SELECT doc_id, seq, previous, following FROM l WHERE chunk_type = 'dialogue'"""
 )
 def prev_next_context(spark, sf_dir):
-    order = Window.partitionBy("doc_id").orderBy("seq")
-    told = F.when(F.col("chunk_type") == "narration", F.col("text"))
-    rows = chunks.with_sequence(script_chunks(spark, sf_dir)).withColumns({"previous": F.lag(told).over(order), "following": F.lead(told).over(order)})
-    return rows.where("chunk_type = 'dialogue'").select("doc_id", "seq", "previous", "following")
+    return chunks.with_neighbours(chunks.with_sequence(script_chunks(spark, sf_dir))).where("chunk_type = 'dialogue'").select("doc_id", "seq", "previous", "following")
 
 
 @query(
@@ -399,6 +431,20 @@ def cast_spec_parse(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", cast_spec.parse_spec(spec).alias("m")).select("doc_id", "m.name", "m.gender", "m.voice")
 
 
+_BARE = r"list_transform(tokens, lambda w: regexp_replace(w, '[^\p{L}\p{N}_]', '', 'g'))"
+_IS_TITLE = r"regexp_matches(w, '^([\p{N}_]*\p{Lu}\p{Ll}*)+[\p{N}_]*$') AND NOT regexp_matches(w, '\p{Lu}\p{Lu}|\p{Ll}\p{Lu}|[\p{N}_]\p{Ll}')"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {sql.word_list('text')} AS tokens FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, {_BARE} AS bare FROM t),
+e AS (SELECT doc_id, unnest(bare) AS w, generate_subscripts(bare, 1) AS i FROM b), n AS (SELECT *, {_IS_TITLE} AND lower(w) NOT IN ({', '.join(sql.q(x) for x in fixed.STOP_WORDS)}) AS named FROM e),
+p AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS next, lead(named) OVER (PARTITION BY doc_id ORDER BY i) AS next_named FROM n)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, CASE WHEN next_named THEN w || ' ' || next ELSE w END AS name FROM p WHERE named"""
+)
+def spoken_names(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(speech.names(F.col("text"))).alias("pos", "name"))
+
+
 # --- signals -----------------------------------------------------------------------------------
 
 
@@ -457,11 +503,46 @@ def frames(spark, sf_dir):
     return rows.select("vec_id", "frame", F.aggregate("f", F.lit(0).cast("long"), lambda t, v: t + v).alias("total"))
 
 
-@query()
+@query(
+    f"""WITH {SIGNAL}, s AS (SELECT vec_id, unnest(samples)::DOUBLE AS x, generate_subscripts(samples, 1) - 1 AS i FROM signal),
+k AS (SELECT range AS k FROM range(1, 1025)), w AS (SELECT i, k, (0.5 - 0.5 * cos(2 * pi() * i / 2047)) * cos(2 * pi() * k * i / 2048) AS c, (0.5 - 0.5 * cos(2 * pi() * i / 2047)) * sin(2 * pi() * k * i / 2048) AS z FROM (SELECT DISTINCT i FROM s), k),
+p AS (SELECT vec_id, k, sum(x * c) ** 2 + sum(x * z) ** 2 AS p FROM s JOIN w USING (i) GROUP BY vec_id, k),
+f AS (SELECT vec_id, sum(p) FILTER (k BETWEEN 6 AND 341) AS band, sum(p) AS whole, max(p) FILTER (k BETWEEN 6 AND 341) AS peak FROM p GROUP BY vec_id),
+m AS (SELECT vec_id, sqrt(list_sum(list_transform(samples, lambda x: x::DOUBLE * x)) / len(samples)) AS level, len({_CROSS}) / (len(samples) / 24000.0::DOUBLE) / 2.0 AS zcr, band / whole AS ratio, peak / (band / 336) AS crest FROM signal JOIN f USING (vec_id))
+SELECT vec_id, level > 150 AND ratio >= 0.5 AND zcr BETWEEN 30 AND 4500 AND crest > 1.8 AS is_speech, round(level, 2) AS rms, CASE WHEN level >= 150 THEN round(zcr, 1) END AS zcr_hz,
+       CASE WHEN level >= 150 THEN round(ratio, 4) END AS speech_band_ratio, CASE WHEN level >= 150 THEN round(crest, 2) END AS spectral_crest_factor, CASE WHEN level < 150 THEN 'silence_or_below_noise_floor' END AS reason FROM m"""
+)
 def speech_spectrum(spark, sf_dir):
     return views.signal(spark, sf_dir).select("vec_id", dsp.analyze_samples("samples", "sample_rate").alias("r")).select("vec_id", "r.*")
 
 
+_LE = lambda n: f"printf('%02x%02x%02x%02x', ({n}) & 255, (({n}) >> 8) & 255, (({n}) >> 16) & 255, (({n}) >> 24) & 255)"
+_PCM = "array_to_string(list_transform(samples, lambda x: printf('%02x%02x', x & 255, (x >> 8) & 255)), '')"
+
+
+@query(
+    f"""WITH {SIGNAL} SELECT vec_id, sha256(unhex('52494646' || {_LE('36 + 2 * len(samples)')} || '57415645666d7420' || {_LE('16')} || '01000100' || {_LE('24000')} || {_LE('48000')} || '02001000' || '64617461' || {_LE('2 * len(samples)')} || {_PCM})) AS wav,
+    24000 AS rate, sha256(unhex({_PCM})) AS pcm, len(samples) / 24000.0::DOUBLE AS seconds FROM signal"""
+)
+def wav_round_trip(spark, sf_dir):
+    """Signals as WAV files, read back."""
+    files = views.signal(spark, sf_dir).select("vec_id", dsp.encode_wav(dsp.pcm_of(F.col("samples")), F.col("sample_rate")).alias("wav"))
+    read = files.select("vec_id", F.sha2("wav", 256).alias("wav"), dsp.decode_wav("wav").alias("w")).select("vec_id", "wav", "w.rate", "w.pcm")
+    return audio.durations(read).withColumn("pcm", F.sha2("pcm", 256))
+
+
+@query("SELECT doc_id, trunc(doc_id % 90 / 1000.0::DOUBLE * 24000)::INT AS n, 0::BIGINT AS total FROM documents")
+def silence(spark, sf_dir):
+    quiet = dsp.silence(F.col("doc_id") % 90)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(quiet).alias("n"), F.aggregate(quiet, F.lit(0).cast("long"), lambda t, x: t + x).alias("total"))
+
+
+@query("SELECT page_id, 'data:' || CASE page_id % 3 WHEN 0 THEN 'audio/mpeg' WHEN 1 THEN 'audio/mp4' ELSE 'audio/wav' END || ';base64,' || base64(encode(coalesce(html, ''))) AS uri FROM pages")
+def data_uri(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, ("a.mp3", "b/c.m4b", "d"))), (F.col("page_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", sinks.data_uri(F.coalesce("html", F.lit("")).cast("binary"), name).alias("uri"))
+
+
 # --- synthesis ---------------------------------------------------------------------------------
 
 
@@ -494,10 +575,11 @@ def synth_dedupe(spark, sf_dir):
 @query(f"{_DELIVERED} SELECT DISTINCT key FROM keyed WHERE text <> '' AND key NOT IN (SELECT key FROM keyed WHERE doc_id % 2 = 0)")
 def cache_anti(spark, sf_dir):
     work = delivered(spark, sf_dir).where(~synthesis.is_silent()).select("doc_id", synthesis.cache_key("MockEngine").alias("key"))
-    return work.join(work.where("doc_id % 2 = 0").select("key"), "key", "left_anti").select("key").distinct()
+    cache = work.select("key", F.when(F.col("doc_id") % 2 == 0, F.lit(b"\0\0")).otherwise(F.lit(b"")).alias("pcm"))  # an empty sound is no sound
+    return synthesis.missing(work, cache).select("key").distinct()
 
 
-@query()
+@query(f"{_DELIVERED} SELECT DISTINCT key, greatest(240, trunc(greatest(1, {sql.word_count('text')})::DOUBLE / 3.2::DOUBLE * 24000)::BIGINT) AS n_samples, NULL::VARCHAR AS error FROM keyed WHERE text <> ''")
 def synthesized_audio(spark, sf_dir):
     sounds = synthesis.speak(delivered(spark, sf_dir), engines.engine("mock"))
     return sounds.select("key", (F.length("pcm") / 2).cast("long").alias("n_samples"), "error")
@@ -552,6 +634,19 @@ def player_chapters_json(spark, sf_dir):
     return sinks.player_chapters(marks(spark, sf_dir))
 
 
+_SOME_MISSING = sql.PLACED.replace("trunc(greatest(1,", "CASE WHEN seq % 5 = 3 THEN NULL ELSE 1 END * trunc(greatest(1,").replace(
+    "sized AS (SELECT *, CASE WHEN chunk_type", "sized AS (SELECT *, CASE WHEN seq % 5 = 3 THEN NULL WHEN seq % 7 = 2 THEN 0 WHEN chunk_type"
+).replace("measured AS (SELECT *, CASE WHEN n = 0 THEN 0", "measured AS (SELECT *, CASE WHEN n IS NULL THEN trunc(greatest(300, pause_after_ms) / 1000.0::DOUBLE * 24000)::BIGINT WHEN n = 0 THEN 0").replace("sum(n) OVER", "sum(coalesce(n, 1)) OVER")
+
+
+@query(f"{sql.chunked('script')},{_SOME_MISSING} SELECT doc_id, seq, start AS start_sample, fin AS end_sample FROM placed")
+def timeline_missing(spark, sf_dir):
+    """Offsets where some sounds are missing and some are empty after trimming."""
+    rows = chunks.with_sequence(delivered(spark, sf_dir))
+    n = F.when(F.col("seq") % 5 == 3, None).when((F.col("seq") % 7 == 2) | synthesis.is_silent(), 0).otherwise(synthesis.mock_samples(T.word_count(F.col("text"))))
+    return timeline.place(rows.withColumn("n_samples", n)).select("doc_id", "seq", F.col("start").alias("start_sample"), F.col("end").alias("end_sample"))
+
+
 # --- pages -------------------------------------------------------------------------------------
 
 
@@ -600,21 +695,52 @@ def html_bold_headings(spark, sf_dir):
 
 @query(f"{_BLOCKS} SELECT page_id, sum({sql.word_count('text')})::BIGINT AS words, count(*) AS blocks FROM blocks WHERE tag = 'p' GROUP BY page_id")
 def page_words(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(html.blocks(F.col("html"))).alias("b")).where("b.tag = 'p'")
-    return rows.groupBy("page_id").agg(F.sum(T.word_count(F.col("b.text"))).alias("words"), F.count("*").alias("blocks"))
+    words, n = html.paragraph_words(F.col("b"))
+    return table(spark, sf_dir, "pages").select("page_id", html.blocks(F.col("html")).alias("b")).select("page_id", words.alias("words"), n.alias("blocks")).where("blocks > 0")
 
 
 @query()
 def html_prose(spark, sf_dir):
-    return manuscripts.from_pages(table(spark, sf_dir, "pages")).select("doc_id", "title", "author", "source_type", "raw_text")
+    return manuscripts.from_pages(views.spread(table(spark, sf_dir, "pages"))).select("doc_id", "title", "author", "source_type", "raw_text")
+
+
+_META = "CASE WHEN page_id % 2 = 0 THEN '<META content=\"  A' || page_id || ' &amp; Co \" NAME=\"the-Author\"/>' ELSE '<meta name=\"viewport\" content=\"x\">' END"
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'A' || page_id || ' & Co' ELSE 'Unknown Author' END AS author FROM pages")
+def page_author(spark, sf_dir):
+    meta = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<META content="  A'), F.col("page_id").cast("string"), F.lit(' &amp; Co " NAME="the-Author"/>'))).otherwise('<meta name="viewport" content="x">')
+    return table(spark, sf_dir, "pages").select("page_id", html.page_author(F.concat(meta, F.coalesce("html", F.lit("")))).alias("author"))
+
+
+_BY = f"regexp_extract('<p>' || CASE WHEN page_id % 3 = 0 THEN 'Story ' || page_id || ' -- a novelette by J. Doe-' || page_id || '</p>' ELSE '' END || coalesce(html, ''), '(?i){fixed.BYLINE.replace(chr(39), chr(39) * 2)}', GROUP)"
+
+
+@query(f"WITH b AS (SELECT page_id, {sql.strip(_BY.replace('GROUP', '1'))} AS t, {sql.strip(_BY.replace('GROUP', '2'))} AS a FROM pages) SELECT page_id, CASE WHEN t <> '' AND page_id % 2 <> 0 THEN t ELSE CASE WHEN page_id % 2 = 0 THEN 'Infinity plus' ELSE 'Web Article' END END AS title, CASE WHEN a <> '' THEN a ELSE 'Unknown Author' END AS author FROM b")
+def byline(spark, sf_dir):
+    line = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("Story "), F.col("page_id").cast("string"), F.lit(" -- a novelette by J. Doe-"), F.col("page_id").cast("string"), F.lit("</p>"))).otherwise("")
+    title, author = html.byline(F.concat(F.lit("<p>"), line, F.coalesce("html", F.lit(""))), F.when(F.col("page_id") % 2 == 0, "Infinity plus").otherwise(html.TITLE), F.lit(html.AUTHOR))
+    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), author.alias("author"))
 
 
 # --- small functions ---------------------------------------------------------------------------
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(left(text, 40)), '[^\p{L}\p{N}]', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}]', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents WHERE text IS NOT NULL")
 def slug_titles(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.slug(F.left("text", F.lit(40))).alias("slug"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.slug(F.col("text")).alias("slug"))
+
+
+@query("SELECT doc_id, 'Some Book ' || doc_id || '.Final' AS title FROM documents")
+def file_titles(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.file_title(F.concat(F.lit("/in.d/some_BOOK_"), F.col("doc_id").cast("string"), F.lit(".final.TXT"))).alias("title"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'My: Tale ' || doc_id END AS title, CASE WHEN doc_id % 2 = 0 THEN 'Jo' END AS author, CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE '' END || coalesce(text, '') AS body FROM documents")
+def front_matter(spark, sf_dir):
+    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('---\nTitle: "My: Tale '), F.col("doc_id").cast("string"), F.lit("\"\r\nauthor : 'No'\nskipped\nAuthor:  'Jo'\n---\n"))).otherwise("")
+    meta, body = manuscripts.front_matter(F.col("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", meta["title"].alias("title"), meta["author"].alias("author"), body.alias("body"))
 
 
 @query(
@@ -652,8 +778,19 @@ def job_recover(spark, sf_dir):
 
 @query(f"WITH {JOB_EVENTS} SELECT job_id, count(*) FILTER (state = 'COMPLETE') AS done, count(*) AS total, round(count(*) FILTER (state = 'COMPLETE') / greatest(1, count(*))::DOUBLE * 100, 1) AS percent FROM job_events GROUP BY job_id")
 def job_progress(spark, sf_dir):
-    counted = views.job_events(spark, sf_dir).groupBy("job_id").agg(F.count(F.when(F.col("state") == "COMPLETE", 1)).alias("done"), F.count("*").alias("total"))
-    return counted.withColumn("percent", jobs.progress_percent(F.col("done"), F.col("total")))
+    return jobs.progress(views.job_events(spark, sf_dir))
+
+
+@query(f"""{_LATEST}, w AS (SELECT DISTINCT user_id + CASE WHEN event_id % 2 = 0 THEN 0 ELSE 100000000 END AS job_id FROM events)
+SELECT w.job_id, event_id, coalesce(state, 'NOT_FOUND') AS state FROM w LEFT JOIN latest USING (job_id)""")
+def job_lookup(spark, sf_dir):
+    wanted = table(spark, sf_dir, "events").select((F.col("user_id") + F.when(F.col("event_id") % 2 == 0, 0).otherwise(100_000_000)).alias("job_id"))
+    return jobs.find(jobs.latest(views.job_events(spark, sf_dir)), wanted).select("job_id", "event_id", "state")
+
+
+@query(f"""{_LATEST} SELECT job_id, '{{"job_id":' || job_id || ',"event_id":' || event_id || ',"state":"' || state || '"}}' AS response FROM latest""")
+def job_status(spark, sf_dir):
+    return jobs.status_json(jobs.latest(views.job_events(spark, sf_dir)), "event_id", "state")
 
 
 # --- the whole ---------------------------------------------------------------------------------
@@ -666,7 +803,25 @@ def rendered_marks(spark, sf_dir):
     return Pipeline(Config(backend="mock")).render(documents).marks
 
 
-@query()
+_ANALYSED = f"{sql.chunked('script')},{sql.PLACED},{sql.SPEAKERS}"
+
+
+@query(
+    f"""{sql.chunked('script')},{sql.SPEAKERS}, v AS (SELECT doc_id, name, {sql.pool('gemini')} AS voice FROM ranked)
+SELECT n.doc_id, n.seq, n.chunk_type, s.character, coalesce(v.voice, 'Fenrir') AS voice, CASE n.chunk_type WHEN 'heading' THEN '-4%' WHEN 'dialogue' THEN '+2%' ELSE '+0%' END AS ssml_rate,
+       CASE WHEN n.chunk_type = 'heading' THEN '-1Hz' WHEN n.chunk_type = 'dialogue' AND s.gender = 'female' THEN '+1Hz' ELSE '+0Hz' END AS ssml_pitch
+FROM numbered n LEFT JOIN spoken_by s ON s.doc_id = n.doc_id AND s.seq = n.seq LEFT JOIN v ON v.doc_id = n.doc_id AND v.name = s.character"""
+)
+def delivered_voices(spark, sf_dir):
+    """Every chunk as it is delivered: its speaker, the voice of the cast, rate and pitch."""
+    documents = manuscripts.from_table(views.script(spark, sf_dir), "doc_id", "raw_text")
+    return Pipeline(Config(backend="gemini", voice="Fenrir")).analyse(documents).delivered.select("doc_id", "seq", "chunk_type", "character", "voice", "ssml_rate", "ssml_pitch")
+
+
+@query(
+    f"""{_ANALYSED}, c AS (SELECT doc_id, count(*) AS characters, sum(line_count)::BIGINT AS lines FROM profiles GROUP BY doc_id)
+SELECT m.doc_id, ord, chapter_index, title, start_ms, end_ms, characters, lines, 3 + coalesce(characters, 0) AS roles FROM marks m LEFT JOIN c ON c.doc_id = m.doc_id"""
+)
 def flagship(spark, sf_dir):
     """Scripts attributed and cast, with the chapter timeline of synthetic durations."""
     documents = manuscripts.from_table(views.script(spark, sf_dir), "doc_id", "raw_text")

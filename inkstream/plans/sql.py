@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from inkstream import fixed
-from inkstream.plans.views import JOB_EVENTS, PROSE, SCRIPT, SIGNAL
+from inkstream.plans.views import JOB_EVENTS, MIXED, PROSE, SCRIPT, SIGNAL
 
 WS = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
 W = r"[\p{L}\p{N}_]"
 NN = "chr(10) || chr(10)"
-QUOTED = '[“"][^”"]+[”"]'
+QUOTED = fixed.QUOTED
 
 
 def q(s: str) -> str:
@@ -140,7 +140,34 @@ def prose_chapters() -> str:
 
 def chunked(view: str = "script") -> str:
     """CTEs from the driver's tables to ``chunks``."""
-    return f"WITH RECURSIVE {SCRIPT if view == 'script' else PROSE},{chapters(view)},{CHUNKS}"
+    return f"WITH RECURSIVE { {'script': SCRIPT, 'prose': PROSE, 'mixed': MIXED}[view]},{chapters(view)},{CHUNKS}"
+
+
+_TAG = "CASE WHEN {0} LIKE '%Alice said%' THEN 'Alice' WHEN {0} LIKE '%Marcus said%' THEN 'Marcus' WHEN {0} LIKE '%the clerk said%' THEN 'The Clerk' END"
+
+#: CTEs from ``chunks`` of the script to its speakers: the tag after a line or before it, else the other partner, else the last speaker.
+SPEAKERS = rf"""
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chapter_index, chunk_index) - 1 AS seq FROM chunks),
+beside AS (SELECT *, lag(CASE WHEN chunk_type = 'narration' THEN text END) OVER w AS before_it, lead(CASE WHEN chunk_type = 'narration' THEN text END) OVER w AS after_it FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+tagged AS (SELECT doc_id, seq, text, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS line, coalesce({_TAG.format('after_it')}, {_TAG.format('before_it')}) AS tag FROM beside WHERE chunk_type = 'dialogue'),
+told AS (
+    SELECT doc_id, line, seq, text, coalesce(tag, 'Unknown Speaker') AS who, tag AS last, NULL::VARCHAR AS partner FROM tagged WHERE line = 1
+    UNION ALL
+    SELECT doc_id, line, seq, text, coalesce(who, 'Unknown Speaker'), coalesce(who, last), CASE WHEN who IS NULL OR who = last THEN partner ELSE last END
+    FROM (SELECT t.doc_id, t.line, t.seq, t.text, coalesce(t.tag, p.partner, p.last) AS who, p.last, p.partner FROM told p JOIN tagged t ON t.doc_id = p.doc_id AND t.line = p.line + 1)),
+spoken_by AS (SELECT doc_id, seq, text, who AS character, CASE who WHEN 'Alice' THEN 'female' WHEN 'Unknown Speaker' THEN 'unknown' ELSE 'male' END AS gender FROM told),
+heard AS (SELECT *, lag(character) OVER (PARTITION BY doc_id ORDER BY seq) AS prev FROM spoken_by WHERE character <> 'Unknown Speaker'),
+partners AS (SELECT DISTINCT doc_id, character AS name, prev AS peer FROM heard WHERE prev <> character UNION SELECT DISTINCT doc_id, prev, character FROM heard WHERE prev <> character),
+profiles AS (
+    SELECT h.doc_id, h.character AS name, min(h.gender) AS gender, count(*) AS line_count, coalesce(any_value(p.peers), '') AS interacts_with
+    FROM heard h LEFT JOIN (SELECT doc_id, name, string_agg(peer, ',' ORDER BY peer) AS peers FROM partners GROUP BY ALL) p ON p.doc_id = h.doc_id AND p.name = h.character GROUP BY h.doc_id, h.character),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gender ORDER BY line_count DESC, name) AS r FROM profiles)"""
+
+
+def pool(engine: str) -> str:
+    """The voice of the r-th man or woman of a document: no pool here is exhausted."""
+    of = lambda kind: "[" + ", ".join(q(v) for v in fixed.VOICE_POOLS[engine][kind]) + "][r]"
+    return f"CASE gender WHEN 'female' THEN {of('female')} ELSE {of('male')} END"
 
 
 PLACED = rf"""

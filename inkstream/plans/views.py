@@ -12,6 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SMALL_SPLIT = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the cores, where the input holds less than 4 MB for each of them.
+
+    Such a file is often one row group, so one task, however costly its rows are. Larger inputs are read as they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SMALL_SPLIT else df
+
+
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: documents as manuscripts, every seventh line opened by a heading."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when(i % 7 == 0, F.concat(F.lit("# Section "), (i / 7).cast("int").cast("string"), F.lit("\n\n"), x)).otherwise(x))
@@ -25,6 +38,31 @@ prose AS (
     FROM documents)"""
 
 
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4: documents with carriage returns, section breaks, curly and mixed quotes, some without headings, some without a text."""
+    plain = lambda x: F.replace(x, F.lit('"'), F.lit(""))
+    line = lambda x, i: (
+        F.when(i % 5 == 1, F.concat(x, F.lit("\r\n\r\n***")))
+        .when(i % 5 == 2, F.concat(F.lit("“"), plain(x), F.lit('" he went on, "Yes” and “no“ more')))
+        .when(i % 5 == 3, F.concat(F.lit("* * *\r\r"), x))
+        .when((i % 5 == 4) & (F.col("doc_id") % 3 != 0), F.concat(F.lit("## Part "), i.cast("string"), F.lit("\r\n\n"), x))
+        .otherwise(x)
+    )
+    body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), "\r\n\r\n")
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 13 != 0, body).alias("raw_text"))
+
+
+MIXED = r"""
+mixed AS (
+    SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i:
+        CASE WHEN (i - 1) % 5 = 1 THEN x || chr(13) || chr(10) || chr(13) || chr(10) || '***'
+             WHEN (i - 1) % 5 = 2 THEN '“' || replace(x, '"', '') || '" he went on, "Yes” and “no“ more'
+             WHEN (i - 1) % 5 = 3 THEN '* * *' || chr(13) || chr(13) || x
+             WHEN (i - 1) % 5 = 4 AND doc_id % 3 <> 0 THEN '## Part ' || (i - 1) || chr(13) || chr(10) || chr(10) || x
+             ELSE x END), chr(13) || chr(10) || chr(13) || chr(10)) END AS raw_text
+    FROM documents)"""
+
+
 def turn_text() -> F.Column:
     """A turn as a quotation, tagged with its speaker unless turn % 4 is 1 or 2."""
     said = F.concat(F.lit('"'), F.replace(F.replace(F.col("text"), F.lit('"'), F.lit("")), F.lit("\n"), F.lit(" ")), F.lit('"'))
@@ -35,6 +73,8 @@ def turn_text() -> F.Column:
 def script(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: conversations as manuscripts, one paragraph a turn."""
     turns = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", F.struct("turn", turn_text().alias("p")).alias("t"))
+    # what follows is costly for each row, so small partitions must not be merged by their size in bytes
+    turns = turns.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "conv_id")
     ordered = F.transform(F.array_sort(F.collect_list("t")), lambda t: t["p"])
     body = F.array_join(ordered, "\n\n")
     return turns.groupBy("conv_id").agg(F.concat(F.lit("# Conversation "), F.first("conv_id").cast("string"), F.lit("\n\n"), body).alias("raw_text")).select(F.col("conv_id").alias("doc_id"), "raw_text")
