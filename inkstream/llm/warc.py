@@ -7,8 +7,9 @@ of a page with a smaller id is a ``revisit`` of that page.
 
 Scale: duplicates are found on (digest, id) rows only; payloads are shuffled once
 by id. A task buffers at most ``archive_bytes`` of records (or one record, if that
-is longer). Archives are written under a temporary name and moved into place, so a
-task that is run again replaces its own files. Files go through ``pyarrow.fs``, to
+is longer). An archive's name holds the attempt that wrote it, and only the manifest says which archives count: it is
+written by Spark, so it lists one attempt of each task. Nothing is moved or overwritten, which some stores
+refuse; what a lost or speculative attempt wrote is left unread. Files go through ``pyarrow.fs``, to
 any file system it knows, in the folder given.
 
 The dictionary is trained on at most ``sample_bytes`` of evenly spaced records of
@@ -151,6 +152,8 @@ def write_archives(
     ready = rows.join(refs, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
     ready = ready.sortWithinPartitions("page_id", "digest", "url")  # a task that runs again cuts the same archives
 
+    run = uuid.uuid4().hex[:8]
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -163,11 +166,10 @@ def write_archives(
 
         def flush() -> None:
             nonlocal total, n
-            name = f"part-{task.partitionId():05d}-{n:04d}.warc.zst"
+            name = f"part-{task.partitionId():05d}-{n:04d}-{task.taskAttemptId()}-{run}.warc.zst"
             data = pack(held, level, dict_bytes, sample_bytes)
-            with there.open_output_stream(f"{root}/.{name}.{task.taskAttemptId()}", compression=None) as f:
+            with there.open_output_stream(f"{root}/{name}", compression=None) as f:
                 f.write(data)
-            there.move(f"{root}/.{name}.{task.taskAttemptId()}", f"{root}/{name}")
             made.append((f"{folder}/{name}", len(held), len(data)))
             held.clear()
             total, n = 0, n + 1

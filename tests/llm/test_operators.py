@@ -71,6 +71,17 @@ def test_warc_minimum_and_empty(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages.limit(0), f"file://{tmp_path}/b")).count() == 0
 
 
+def test_a_second_attempt_touches_no_archive(spark, tmp_path):
+    """Writing into the same folder again, as a lost task's next attempt does, leaves all archives as they are; each manifest reads its own."""
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * 50) for i in range(40)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    first = warc.write_archives(pages, folder, archive_bytes=4000)
+    before = {f.name: f.read_bytes() for f in (tmp_path / "w").iterdir()}
+    second = warc.write_archives(pages.where("page_id < 9"), folder, archive_bytes=4000)
+    assert all((tmp_path / "w" / n).read_bytes() == b for n, b in before.items()) and len(list((tmp_path / "w").iterdir())) > len(before)
+    assert warc.read_archives(first).count() == 40 and sorted(r.page_id for r in warc.read_archives(second).collect()) == list(range(9))
+
+
 def test_warc_archive_layout():
     import io
     import struct
@@ -293,6 +304,44 @@ def test_language_held_out(spark, data):
     assert (got.lang_pred == got.lang).mean() > 0.9 and got.score.between(0, 1).all()
 
 
+def plain_language(text, dicts, block=4096, least=1.0):
+    """Classification read off the definition: every block of letters with every language's dictionary, a fresh encoder each."""
+    import math
+
+    import zstandard as zstd
+
+    kept = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    raw = " ".join(re.sub(r"[\W\d_]+", " ", kept).split(" ")).strip().encode()
+    if not any(c.isalpha() for c in text or "") or not raw:
+        return "und", 0.0, False
+    cuts = [raw[i : i + block] for i in range(0, len(raw), block)]
+    params = zstd.ZstdCompressionParameters(window_log=19, chain_log=17, hash_log=17, search_log=3, min_match=4, strategy=zstd.STRATEGY_GREEDY, target_length=32, write_content_size=False, write_checksum=False, write_dict_id=False)
+    total = {}
+    for lang, d in dicts:
+        held = zstd.ZstdCompressionDict(d, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=params)
+        total[lang] = sum(len(zstd.ZstdCompressor(compression_params=params, dict_data=held).compress(c)) for c in cuts)
+    order = [lang for _, lang in sorted((n, k) for k, n in enumerate(total.values()))]
+    langs = list(total)
+    best, blocks = langs[order[0]], 1 + len(raw) // block
+    gaps = [(total[langs[k]] - total[best]) / blocks for k in order]
+    return best, 1 / sum(math.exp(max(-60.0, -g / 4)) for g in gaps), gaps[1] >= least
+
+
+def test_languages_equal_the_plain_reading(spark, data):
+    """Every text of the table: language, score and acceptance; the rows that stay; ties go to the language with more rows."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    dicts = lang_id.learn(docs, dict_bytes=16384)
+    want = {r.doc_id: plain_language(r.text, dicts) for r in docs.collect()}
+    got = {r.doc_id: (r.lang_pred, r.score, r.accepted) for r in lang_id.identify(docs, dicts).collect()}
+    for i, (lang, score, accepted) in want.items():
+        assert got[i][0] == lang and got[i][2] == accepted and got[i][1] == pytest.approx(score, abs=1e-9), i
+    assert {(r.doc_id, r.lang) for r in lang_id.keep_identified(docs, dicts).collect()} == {(i, w[0]) for i, w in want.items() if w[2]}
+    same = [("zz", b"abc def " * 99), ("aa", b"abc def " * 99)]
+    r = lang_id.identify(docs.limit(5), same).collect()
+    assert all(x.lang_pred == "zz" and not x.accepted and x.score == 0.5 for x in r)
+
+
 def test_language_edges(spark, edge, empty):
     got = {r.doc_id: r for r in lang_id.identify(edge, [("en", PASSAGE.encode() * 20), ("fr", "le chat noir dort sur la table ".encode() * 20)]).collect()}
     assert [got[i].lang_pred for i in (3, 4, 7, 8)] == ["und"] * 4 and got[1].lang_pred == "en" and got[5].lang_pred in ("en", "fr")
