@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--backend", default="edge")
     p.add_argument("--voice", default="en-US-ChristopherNeural")
     p.add_argument("--dialogue-voice")
+    p.add_argument("--model", help="model of a network backend")
     p.add_argument("--character", action="append", default=[], help="Name:gender:voice, repeatable")
     p.add_argument("--cast", help="JSON, a JSON file or specs between commas")
     p.add_argument("--pacing", default="normal", choices=sorted(fixed.PACING))
@@ -41,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
     cast = [*a.character, *([a.cast] if a.cast else [])] or None
     config = Config(
         backend=a.backend, voice=a.voice, dialogue_voice=a.dialogue_voice, characters=cast, pacing_mode=a.pacing, speed=a.speed, audio_format=a.format, crossfade_ms=a.crossfade, audition=a.audition,
-        synthesis_partitions=a.workers, generate_player=not a.no_player, normalize_loudness=not a.no_normalize,
+        engine_options={"model": a.model} if a.model else {}, synthesis_partitions=a.workers, generate_player=not a.no_player, normalize_loudness=not a.no_normalize,
     )
     spark = SparkSession.builder.appName("inkstream").getOrCreate()
     try:

@@ -80,6 +80,19 @@ TO_GEMINI = {
     "en-GB-SoniaNeural": "Leda", "en-US-EricNeural": "Orus", "en-US-RogerNeural": "Zephyr", "en-US-AvaNeural": "Callirrhoe", "en-US-EmmaNeural": "Autonoe",
     "en-US-AndrewNeural": "Enceladus", "en-US-BrianNeural": "Iapetus", "en-GB-LibbyNeural": "Laomedeia", "en-US-AnaNeural": "Despina",
 }
+# Voices of the free backend that stand in for those of another when that can't speak.
+STAND_INS = {
+    "Fenrir": "en-US-ChristopherNeural", "Puck": "en-US-GuyNeural", "Charon": "en-GB-RyanNeural", "Aoede": "en-US-JennyNeural", "Kore": "en-US-AriaNeural",
+    "Leda": "en-GB-SoniaNeural", "Orus": "en-US-EricNeural", "Oran": "en-US-EricNeural", "Zephyr": "en-US-RogerNeural", "Callirrhoe": "en-US-AvaNeural",
+    "Autonoe": "en-US-EmmaNeural", "Enceladus": "en-US-AndrewNeural", "Iapetus": "en-US-BrianNeural", "Umbriel": "en-US-GuyNeural", "Algieba": "en-US-ChristopherNeural",
+    "Despina": "en-US-AnaNeural", "Erinome": "en-US-AriaNeural", "Algenib": "en-US-GuyNeural", "Rasalgethi": "en-US-EricNeural", "Laomedeia": "en-GB-LibbyNeural",
+    "Achernar": "en-US-RogerNeural", "Alnilam": "en-US-ChristopherNeural", "Schedar": "en-US-JennyNeural", "Gacrux": "en-US-GuyNeural", "Pulcherrima": "en-US-AriaNeural",
+    "Achird": "en-US-RogerNeural", "Zubenelgenubi": "en-US-EricNeural", "Vindemiatrix": "en-US-JennyNeural", "Sadachbia": "en-US-AndrewNeural", "Sadaltager": "en-US-AriaNeural",
+    "Sulafat": "en-US-JennyNeural",
+}
+# Models of the network backends.
+GEMINI_MODEL, GEMINI_SECOND_MODEL, OPENAI_MODEL = "gemini-2.5-pro-preview-tts", "gemini-2.0-flash", "tts-1-hd"
+VERBATIM = "Read the following text aloud verbatim. Do not reply or add commentary:\n"
 OPENAI_VOICES = "alloy echo fable onyx nova shimmer".split()
 
 # Base frequencies in Hz of the synthetic engine, and its speech rate.

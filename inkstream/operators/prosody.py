@@ -43,6 +43,12 @@ def rate(kind: Column, profile: Profile, speed: float = 1.0) -> Column:
     return signed_percent(F.when(kind == "heading", -4).when(kind == "dialogue", 2).otherwise(own) + faster)
 
 
+def signed_rate(kind: str, speed: float = 1.0) -> str:
+    """As ``rate``, of one chunk on the driver."""
+    own = {"heading": -4, "dialogue": 2}.get(kind, 0) + round((speed - 1.0) * 100)
+    return f"{own:+d}%"
+
+
 def pitch(kind: Column, gender: Column, profile: Profile) -> Column:
     return F.when(kind == "heading", "-1Hz").when(kind == "dialogue", F.when(gender == "female", "+1Hz").otherwise("+0Hz")).otherwise(profile.pitch_offset)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from inkstream.fixed import SAMPLE_RATE
 from inkstream.functions.dsp import from_wav, speech_report, to_wav
 from inkstream.functions.text import mime_type
+from inkstream.operators.engines import EngineError, decoded
 
 FORMATS = {".m4b": "m4b", ".mp3": "mp3", ".wav": "wav"}
 LOUDNESS = "loudnorm=I=-16:TP=-1.5:LRA=11"
@@ -98,9 +99,15 @@ def export(samples: np.ndarray, path: str, title: str = "Audiobook", author: str
 
 
 def verify_file(path: str) -> dict:
-    """Speech report on a WAV file."""
+    """Speech report on a file: WAV as it is, other containers decoded by ffmpeg."""
     if not os.path.exists(path):
         return {"is_speech": False, "reason": "file_not_found"}
     with open(path, "rb") as f:
-        rate, samples = from_wav(f.read())
-    return speech_report(samples, rate)
+        data = f.read()
+    if os.path.splitext(path)[1].lower() == ".wav":
+        rate, samples = from_wav(data)
+        return speech_report(samples, rate)
+    try:
+        return speech_report(decoded(data))
+    except EngineError as e:
+        return {"is_speech": False, "reason": f"decode_error: {e}"}

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +45,8 @@ def missing(work: DataFrame, cache: DataFrame) -> DataFrame:
     return work.join(cache.where(F.length("pcm") > 0).select("key"), "key", "left_anti")
 
 
-def speak(chunks: DataFrame, engine: Engine, cache: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
-    """New rows for the cache: ``key, pcm, n_samples`` (after trimming), ``error``; each distinct sound is made once. Failures become silence with the error told."""
+def speak(chunks: DataFrame, engine: Engine, cache: DataFrame | None = None, partitions: int | None = None, done: Accumulator | None = None) -> DataFrame:
+    """New rows for the cache: ``key, pcm, n_samples`` (after trimming), ``error``; each distinct sound is made once. Failures become silence with the error told. ``done`` counts the sounds of finished tasks."""
     work = chunks.where(~is_silent()).withColumn("key", cache_key(engine.name)).select("key", "text", "chunk_type", "character", "voice", "ssml_rate", "ssml_pitch", "pause_after_ms")
     work = work.groupBy("key").agg(*[F.first(c).alias(c) for c in work.columns if c not in ("key", "pause_after_ms")], F.max("pause_after_ms").alias("pause_after_ms"))
     if cache is not None:
@@ -63,6 +64,8 @@ def speak(chunks: DataFrame, engine: Engine, cache: DataFrame | None = None, par
                 except Exception as e:  # a chunk that can't be spoken must not stop the rest
                     pcm, error = bytes(2 * int(max(500, row["pause_after_ms"]) / 1000.0 * SAMPLE_RATE)), str(e)
                 made.append((row["key"], pcm, len(trim(np.frombuffer(pcm, "<i2"))), error))
+                if done is not None:
+                    done.add(1)
                 held += len(pcm)
                 if held >= HELD_BYTES:  # a batch of texts can be gigabytes of sound
                     yield pd.DataFrame(made, columns=["key", "pcm", "n_samples", "error"])

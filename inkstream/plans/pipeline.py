@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import base64
 import os
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,17 +105,24 @@ class Pipeline:
         edges = attribution.interactions(attribution.spoken_lines(attributed))
         return Result(documents, parts, cut, attributed, people, edges, voices, delivered)
 
-    def render(self, documents: DataFrame, cache: DataFrame | None = None) -> Result:
-        """With audio: what the cache lacks is spoken and placed on the timeline. Offsets need lengths only, so audio stays where it is."""
+    def speak(self, r: Result, cache: DataFrame | None = None, done: Accumulator | None = None) -> DataFrame:
+        """What the cache lacks."""
+        return synthesis.speak(r.delivered, engine(self.config.backend, **self.config.engine_options), cache, self.config.synthesis_partitions, done)
+
+    def place(self, r: Result, audio: DataFrame) -> Result:
+        """With timeline and marks. Offsets need lengths only, so audio stays where it is."""
         c = self.config
-        r = self.analyse(documents)
-        speaker = engine(c.backend, **c.engine_options)
-        fresh = synthesis.speak(r.delivered, speaker, cache, c.synthesis_partitions)
-        r.audio = fresh if cache is None else cache.unionByName(fresh)
-        r.placed = timeline.place(synthesis.with_lengths(r.delivered, speaker, r.audio), c.crossfade_ms, c.break_pauses)
+        r.audio = audio
+        r.placed = timeline.place(synthesis.with_lengths(r.delivered, engine(c.backend, **c.engine_options), audio), c.crossfade_ms, c.break_pauses)
         r.marks = timeline.chapter_marks(r.placed, r.chapters)
         return r
 
+    def render(self, documents: DataFrame, cache: DataFrame | None = None) -> Result:
+        """With audio: what the cache lacks is spoken and placed on the timeline."""
+        r = self.analyse(documents)
+        fresh = self.speak(r, cache)
+        return self.place(r, fresh if cache is None else cache.unionByName(fresh))
+
     def assemble(self, r: Result) -> tuple[np.ndarray, int]:
         """The signal of a rendered document, on the driver, and its number of chunks."""
         sounding = synthesis.with_audio(r.delivered, engine(self.config.backend, **self.config.engine_options), r.audio)
@@ -122,21 +132,32 @@ class Pipeline:
     def run(self, spark: SparkSession, target: str, output_path: str | None = None, cache_path: str | None = None, progress: Callable[[int, int, str], None] | None = None) -> dict:
         """One manuscript to files: audio, player, and a report. Only this document's audio reaches the driver.
 
-        ``progress`` hears (done, total, first words) for each chunk once its sound is there.
+        Sounds are made once: into the cache, or a table in the checkpoint folder, or the executors' memory and disk. ``progress`` hears (done, total, first words of the last one done) of the chunks, as tasks of the synthesis finish.
         """
         documents = manuscripts.route(spark, target)
-        cache = None
-        if cache_path and manuscripts.exists(spark, cache_path):
-            cache = spark.read.schema(synthesis.AUDIO).parquet(cache_path)
-        r = self.render(documents, cache)
-        if cache_path:
-            synthesis.speak(r.delivered, engine(self.config.backend, **self.config.engine_options), cache, self.config.synthesis_partitions).write.mode("append").parquet(cache_path)
-            cache = spark.read.schema(synthesis.AUDIO).parquet(cache_path)
-            r = self.render(documents, cache)
+        r = self.analyse(documents)
+        cache = spark.read.schema(synthesis.AUDIO).parquet(cache_path) if cache_path and manuscripts.exists(spark, cache_path) else None
+        done = spark.sparkContext.accumulator(0)
+        fresh = self.speak(r, cache, done)
+        folder = spark.sparkContext.getCheckpointDir()
+        path = cache_path or (f"{folder}/audio-{uuid.uuid4().hex}" if folder else None)
+        sounds = fresh if path else fresh.persist()  # without a folder that all share, executors keep what they made
+        work = (lambda: fresh.write.mode("append").parquet(path)) if path else sounds.count
         if progress:
-            told = r.delivered.orderBy("seq").select(F.left("text", F.lit(40)).alias("t")).collect()
-            for k, row in enumerate(told):
-                progress(k + 1, len(told), row.t)
+            keys = r.delivered.where(~synthesis.is_silent()).select(synthesis.cache_key(engine(self.config.backend, **self.config.engine_options).name).alias("key")).distinct()
+            told = [x.t for x in r.delivered.orderBy("seq").select(F.left("text", F.lit(40)).alias("t")).collect()]
+            pending = (keys if cache is None else synthesis.missing(keys, cache)).count()
+
+            def look() -> None:
+                k = len(told) - pending + min(done.value, pending) if done.value or not pending else 0
+                progress(k, len(told), told[max(0, k - 1)] if told else "")
+
+            watched(work, look)
+        else:
+            work()
+        return self._finish(spark, documents, self.place(r, spark.read.schema(synthesis.AUDIO).parquet(path) if path else sounds), output_path)
+
+    def _finish(self, spark: SparkSession, documents: DataFrame, r: Result, output_path: str | None) -> dict:
         doc = documents.select("doc_id", "title", "author", T.slug(F.col("title")).alias("slug")).first()
         signal, n_chunks = self.assemble(r)
         marks = [m.asDict() for m in r.marks.orderBy("ord").collect()]
@@ -149,6 +170,17 @@ class Pipeline:
         return {"audio_path": audio, "player_path": player, "duration_seconds": len(signal) / fixed.SAMPLE_RATE, "total_chunks": n_chunks, "marks": marks, "result": r}
 
 
+def watched(work: Callable[[], None], look: Callable[[], None], seconds: float = 0.2) -> None:
+    """Runs work on another thread and looks at it before, until it is done, and then; its errors are raised here."""
+    look()
+    with ThreadPoolExecutor(1) as pool:
+        running = pool.submit(work)
+        while not wait([running], timeout=seconds).done:
+            look()
+        running.result()
+    look()
+
+
 def inspect(chapter_rows: DataFrame) -> DataFrame:
     """Titles and words by chapter."""
     return chapter_rows.select("doc_id", "chapter_index", "title", "word_count")
@@ -156,9 +188,16 @@ def inspect(chapter_rows: DataFrame) -> DataFrame:
 
 def preview(spark: SparkSession, payload: dict, words: int = 150) -> dict:
     """A short excerpt of a request's text, spoken, as a data URI with its characters and voices."""
+    documents = manuscripts.from_payload(spark, payload)
     config = Config(backend=payload.get("backend", "mock"), voice=payload.get("voice") or "en-US-ChristopherNeural", dialogue_voice=payload.get("dialogue_voice"), characters=payload.get("characters") or payload.get("cast"), speed=float(payload.get("speed", 1.0)), audition=True, audition_words=words)
     p = Pipeline(config)
-    r = p.render(manuscripts.from_payload(spark, payload))
+    first = chunks.chunk_chapters(chapters.split_chapters(documents)).limit(2).collect()
+    text = documents.first().raw_text or ""
+    if len(first) == 1 and first[0].chunk_type == chunks.NARRATION and not text.startswith("#"):  # one chunk needs no cast
+        rate = prosody.signed_rate("narration", config.speed)
+        sound = engine(config.backend, **config.engine_options).speak({**first[0].asDict(), "character": config.voice, "voice": config.voice, "ssml_rate": rate, "ssml_pitch": "+0Hz"})
+        return {"audio": "data:audio/wav;base64," + base64.b64encode(to_wav(sound)).decode(), "characters": [], "voice_map": {}, "total_chunks": 1}
+    r = p.render(documents)
     signal, n_chunks = p.assemble(r)
     people = [c.asDict() for c in r.characters.orderBy("name").collect()]
     return {"audio": "data:audio/wav;base64," + base64.b64encode(to_wav(signal)).decode(), "characters": people, "voice_map": {v.role: v.voice for v in r.voice_map.collect()}, "total_chunks": n_chunks}

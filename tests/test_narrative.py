@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from inkstream import fixed
 from inkstream.functions import dsp, html
 from inkstream.operators import attribution, casting, chapters, chunks, engines, jobs, prosody, sinks, synthesis, timeline
 from inkstream.operators.cast_spec import Member, from_spec, parse_spec, read_cast
@@ -416,3 +417,108 @@ def test_streams_equal_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("states").collect())) == sorted(map(tuple, jobs.latest(events).collect()))
+
+
+# --- network engines, containers, progress ------------------------------------------------------
+
+
+class Answer(Exception):
+    def __init__(self, code):
+        super().__init__(f"HTTP {code}")
+        self.code = code
+
+
+def _gemini_answer(samples, kind="audio/L16;rate=24000"):
+    import base64
+
+    parts = [{"text": "thinking"}, {"inlineData": {"mimeType": kind, "data": base64.b64encode(samples.astype("<i2").tobytes()).decode()}}, {"inlineData": {"mimeType": kind, "data": ""}}]
+    return json.dumps({"candidates": [{"content": {"parts": parts}}]}).encode()
+
+
+def test_gemini_takes_the_first_sound_and_the_second_model():
+    asked = []
+
+    def post(url, payload, headers=None, timeout=20.0):
+        asked.append((url.split("models/")[1].split(":")[0], payload["generationConfig"]["speechConfig"]["voiceConfig"]["prebuiltVoiceConfig"]["voiceName"]))
+        if len(asked) == 1:
+            raise Answer(404)
+        if len(asked) == 2:
+            raise Answer(429)
+        return _gemini_answer(np.arange(5))
+
+    e = engines.engine("gemini", api_key="k", post=post, base_seconds=0.0)
+    assert e.speak({"text": " hello ", "voice": "en-US-AriaNeural"}).tolist() == [0, 1, 2, 3, 4]
+    assert asked == [(fixed.GEMINI_MODEL, "Kore"), (fixed.GEMINI_SECOND_MODEL, "Kore"), (fixed.GEMINI_SECOND_MODEL, "Kore")]
+    with pytest.raises(engines.EngineError):
+        engines.first_audio({"candidates": [{"content": {"parts": [{"text": "no"}]}}]})
+    with pytest.raises(engines.EngineError):
+        engines.first_audio({})
+
+
+def test_gemini_is_never_silent():
+    heard = []
+    stand_in = engines.EdgeEngine(client=lambda c: heard.append(c["voice"]) or np.ones(3, np.int16))
+
+    def post(*_, **__):
+        raise Answer(500)
+
+    assert engines.engine("gemini", api_key="k", post=post, base_seconds=0.0, stand_in=stand_in).speak({"text": "x", "voice": "Kore"}).tolist() == [1, 1, 1]
+    assert engines.GeminiEngine(stand_in=stand_in).speak({"text": "x", "character": "Sulafat"}).tolist() == [1, 1, 1]  # without a key
+    assert heard == ["en-US-AriaNeural", "en-US-JennyNeural"]
+
+
+def test_openai_reads_raw_samples():
+    def post(url, payload, headers=None, timeout=20.0):
+        assert headers["Authorization"] == "Bearer k" and payload["response_format"] == "pcm"
+        return np.array([7 if payload["voice"] == "nova" else 9, payload["model"] == "m"], "<i2").tobytes()
+
+    e = engines.engine("openai", api_key="k", post=post, model="m")
+    assert e.speak({"text": "x", "character": "nova"}).tolist() == [7, 1] and e.speak({"text": "x", "character": "Zoe"}).tolist() == [9, 1]
+
+
+def test_containers(spark, tmp_path):
+    """WAV needs no decoder; what can't be decoded is told, not invented."""
+    from inkstream.sources import audio as sound
+
+    x = (8000 * np.sin(np.arange(24000) / 20)).astype(np.int16)
+    wav = dsp.to_wav(x)
+    assert engines.decoded(wav).tolist() == x.tolist() and engines.decoded(x.tobytes(), "audio/pcm").tolist() == x.tolist()
+    (tmp_path / "a.mp3").write_bytes(b"no sound at all")
+    (tmp_path / "b.m4b").write_bytes(wav)
+    assert sinks.verify_file(str(tmp_path / "a.mp3"))["reason"].startswith("decode_error") and sinks.verify_file(str(tmp_path / "b.m4b"))["rms"] > 1000
+    got = {r.path[-5:]: r.pcm for r in sound.from_audio_files(spark, f"file://{tmp_path}").collect()}
+    assert got["a.mp3"] is None and bytes(got["b.m4b"]) == x.tobytes()
+
+
+def test_progress_while_it_happens(spark, tmp_path):
+    from inkstream.plans import pipeline
+
+    heard = []
+    done = Pipeline(Config(backend="mock", generate_player=False)).run(spark, "# One\n\nA first line. And more of it.\n\nA second line here.", str(tmp_path / "o.wav"), f"file://{tmp_path}/cache", lambda *x: heard.append(x))
+    assert heard[-1][0] == heard[-1][1] == 3 and done["total_chunks"] == 3
+    again = Pipeline(Config(backend="mock", generate_player=False)).run(spark, "# One\n\nA first line. And more of it.\n\nA second line here.", str(tmp_path / "p.wav"), f"file://{tmp_path}/cache", lambda *x: heard.append(x))
+    assert heard[-1][:2] == (3, 3) and again["duration_seconds"] == done["duration_seconds"] and spark.read.parquet(f"file://{tmp_path}/cache").count() == 3
+    with pytest.raises(ZeroDivisionError):
+        pipeline.watched(lambda: 1 / 0, lambda: None)
+
+
+def test_preview_of_one_chunk_casts_nobody(spark):
+    got = preview(spark, {"text": "Just a short line.", "backend": "mock"})
+    assert got["total_chunks"] == 1 and got["characters"] == [] and got["audio"].startswith("data:audio/wav;base64,")
+
+
+def test_documents_without_characters_get_the_reserved_roles(spark):
+    r = Pipeline(Config(backend="gemini", voice="Fenrir")).analyse(manuscripts.from_string(spark, "# A\n\nNobody speaks here."))
+    assert sorted((v.role, v.voice) for v in r.voice_map.collect()) == [("Narrator", "Fenrir"), ("heading", "Fenrir"), ("section_break", "Fenrir")]
+
+
+def test_a_sound_appended_twice_counts_once(spark):
+    rows = spark.createDataFrame([("k", b"\0\0" * 10, 10, None), ("k", b"\0\0" * 10, 10, None)], synthesis.AUDIO)
+    assert synthesis.held(rows).collect()[0].n_samples == 10 and synthesis.held(rows).count() == 1
+
+
+def test_native_and_numpy_snapping_agree(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(-5, 60)), rng.integers(-9, 9, rng.integers(0, 50)).tolist()) for _ in range(200)]
+    got = spark.createDataFrame(rows, "t int, s array<smallint>").select("t", "s", dsp.nearest_crossing(F.col("s"), F.col("t"), 7).alias("at")).collect()
+    assert all(r["at"] == dsp.snap(np.array(r.s, np.int16), r.t, 7) for r in got)
