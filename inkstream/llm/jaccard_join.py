@@ -370,7 +370,9 @@ def verified_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
     rows = dealt.hint("merge").join(texts, "first_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "h1", "h2", "copies", "earlier", "text")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = rows.repartition(n, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    # a group's pairs of blocks are dealt in turn: by hash, several would meet in one task
+    turn = F.expr("j * (j + 1L) div 2") + F.col("i")
+    ordered = rows.repartitionById(n, F.pmod(F.pmod(F.xxhash64("grp"), F.lit(n)) + turn, F.lit(n)).cast("int")).sortWithinPartitions("grp", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None
