@@ -36,16 +36,19 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1000
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch for this session: texts are long, and a worker holds a batch at a time.
+    """Bound the bytes and rows of an Arrow batch for this session: texts are long, and a worker holds a batch and what it makes of it at a time.
 
-    Plans read the setting when they run, so it can't be put back here; it is only ever lowered.
+    Plans read the settings when they run, so they can't be put back here; they are only ever lowered.
     """
-    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+    conf = spark._jsparkSession.sessionState().conf()
+    if conf.arrowMaxBytesPerBatch() > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if not 0 < conf.arrowMaxRecordsPerBatch() <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
