@@ -16,13 +16,13 @@ SMALL_SPLIT = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly over the cores, where the input holds less than 4 MB for each of them.
+    """Rows dealt evenly over the cores, where the input holds less than 4 MB for each of them and is read by fewer tasks.
 
     Such a file is often one row group, so one task, however costly its rows are. Larger inputs are read as they lie.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return df.repartition(cores) if size < cores * SMALL_SPLIT else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_SPLIT and df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
