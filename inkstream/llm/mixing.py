@@ -35,12 +35,12 @@ HASH_BITS = 60
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
-    """Per row: doc_id, source, skey (never null), size in words, h in [0, 2**60)."""
+    """Per row: doc_id, source, skey (never null), size in words, h in [0, 2**60): the first digits of the MD5 of seed and id, as any engine computes it."""
     source = F.col(source_col).cast("string")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     return docs.select(
         F.col(id_col).alias("doc_id"), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("null")).alias("skey"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 64 - HASH_BITS).alias("h"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary")), F.lit(HASH_BITS // 4)), 16, 10).cast("long").alias("h"),
     )
 
 

@@ -118,6 +118,41 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id > first_id THEN first_id END AS refers_to
 FROM b""",
+    "op3_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, b, substr(x, 2 * b + 1, 1098) AS y FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 + 1, 500)) AS b FROM d)),
+v AS (SELECT doc_id, b + q AS p, substr(y, 2 * q + 1, 100) AS s FROM (SELECT doc_id, b, y, unnest(range(0, least(500, length(y) // 2 - 49))) AS q FROM c)),
+e AS (SELECT doc_id, p, hash(s) AS k FROM v),
+f AS (SELECT k FROM e GROUP BY k HAVING min(doc_id) < max(doc_id)),
+w AS (SELECT doc_id, p, s FROM v WHERE hash(s) IN (SELECT k FROM f)),
+m AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT w.doc_id, w.p FROM w JOIN m USING (s) WHERE w.doc_id > m.first_id),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS opens FROM h),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g) GROUP BY doc_id, k),
+k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM r),
+t AS (SELECT k.doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(x), 2 * max(z) + 1) AS kept FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op4_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || left(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS r FROM d GROUP BY source),
+w AS (SELECT *, ([5, 2, 1])[r % 3 + 1]::DOUBLE AS w, 3 * source_size AS cap FROM s),
+o AS (SELECT *, cap / w AS ratio, (sum(source_size) OVER ())::DOUBLE AS total, coalesce(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS below, sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+l AS (SELECT (total - below) / rest AS level FROM o WHERE (total - below) / rest <= ratio ORDER BY ratio, r LIMIT 1),
+t AS (SELECT source, source_size, least(cap::DOUBLE, level * w) AS target FROM w, l),
+c AS (SELECT *, CASE WHEN source_size > 0 THEN floor(round(target) / source_size)::BIGINT ELSE 0 END AS copies FROM t),
+b AS (SELECT *, (round(target) - copies * source_size)::BIGINT AS budget FROM c),
+q AS (SELECT d.doc_id, d.size, d.h, b.*, (sum(size) OVER (PARTITION BY d.source, h))::BIGINT AS held, (sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS upto
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, copies * size + CASE WHEN upto <= budget THEN size WHEN upto - held < budget THEN size * (budget - upto + held) // held ELSE 0 END AS taken FROM q""",
+    "op10_jaccard_join": r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * c >= 4 * (x.n + y.n)),
+r AS (SELECT a AS doc_id, b AS near FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.near)
+SELECT t.doc_id, least(t.doc_id, coalesce((SELECT min(near) FROM r WHERE r.doc_id = t.doc_id), t.doc_id)) AS class_id, (SELECT count(*) FROM l WHERE l.a = t.doc_id) AS n_links FROM t""",
     "op6_url_filter": """
 WITH u AS (SELECT page_id, url, strpos(url, '://') AS p FROM pages),
 r AS (SELECT page_id, CASE WHEN p > 0 THEN substr(url, p + 3) ELSE '' END AS rest FROM u),
