@@ -14,6 +14,8 @@ from inkstream import fixed
 from inkstream.functions.text import strip, sub, word_count
 
 TITLE, AUTHOR = "Web Article", "Unknown Author"
+#: What a byline can't lack; found in one pass, while the whole pattern starts anew at every word.
+BY = r"\s--\s+(?:a\s+novelette\s+)?by\s"
 #: Entities that text in practice holds.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
@@ -47,7 +49,8 @@ def page_author(html: Column) -> Column:
 
 def byline(html: Column, title: Column, author: Column) -> tuple[Column, Column]:
     """Title and author, overridden by a line ``Title -- by Author``."""
-    t, a = (strip(F.regexp_extract(html, f"(?i){fixed.BYLINE}", k)) for k in (1, 2))
+    likely = html.rlike(f"(?i){BY}")
+    t, a = (F.when(likely, strip(F.regexp_extract(html, f"(?i){fixed.BYLINE}", k))).otherwise("") for k in (1, 2))
     return F.when((t != "") & ~F.lower(title).startswith("infinity"), t).otherwise(title), F.when(a != "", a).otherwise(author)
 
 
@@ -127,7 +130,7 @@ def read_page(html: str) -> tuple[str, str, str]:
     text = lambda n: "".join(n["text"]).strip()
     title = next((text(n) for n in live if n["tag"] == "title"), "") or TITLE
     author = tree.author or AUTHOR
-    line = re.search(fixed.BYLINE, html or "", re.I)
+    line = re.search(fixed.BYLINE, html, re.I) if re.search(BY, html or "", re.I) else None
     if line:
         if line.group(1).strip() and not title.lower().startswith("infinity"):
             title = line.group(1).strip()

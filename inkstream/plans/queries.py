@@ -15,6 +15,8 @@ from inkstream.plans import sql, views
 from inkstream.plans.pipeline import Config, Pipeline
 from inkstream.plans.views import JOB_EVENTS, SIGNAL, table
 from inkstream.sources import audio, manuscripts
+from inkstream.streaming import attribution as stream_attribution
+from inkstream.streaming import jobs as job_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -326,6 +328,18 @@ def attributed_dialogue(spark, sf_dir):
     return attributed(spark, sf_dir).where("chunk_type = 'dialogue'").select("doc_id", "seq", "character", "gender", "text")
 
 
+@query(f"{sql.chunked('script')},{sql.SPEAKERS} SELECT doc_id, seq, character, gender, text FROM spoken_by")
+def attributed_stream(spark, sf_dir):
+    """As ``attributed_dialogue``, from a stream of chunks in any order."""
+    folder = views.scratch(spark, "chunks")
+    rows = chunks.with_sequence(script_chunks(spark, sf_dir)).select("doc_id", "seq", "chunk_type", "text")
+    rows = rows.withColumn("n_chunks", F.count("*").over(Window.partitionBy("doc_id")))
+    rows.repartition(2, F.col("seq") % 2).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    _drain(stream_attribution.attribute_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/offsets"))
+    return spark.read.parquet(f"{folder}/out").where("chunk_type = 'dialogue'").select("doc_id", "seq", "character", "gender", "text")
+
+
 @query(f"{sql.chunked('script')},{sql.SPEAKERS} SELECT * FROM profiles")
 def character_profiles(spark, sf_dir):
     return attribution.characters(attributed(spark, sf_dir)).select("doc_id", "name", "gender", "line_count", F.array_join("interacts_with", ",").alias("interacts_with"))
@@ -766,6 +780,22 @@ def job_latest(spark, sf_dir):
     return jobs.latest(views.job_events(spark, sf_dir)).select("job_id", "ts", "event_id", "state", "value")
 
 
+def _drain(stream) -> None:
+    """Runs a stream over what is there."""
+    stream.trigger(availableNow=True).start().awaitTermination()
+
+
+@query(f"{_LATEST} SELECT job_id, ts, event_id, state, value FROM latest")
+def job_stream(spark, sf_dir):
+    """The latest states, folded from a stream of the events."""
+    folder = views.scratch(spark, "jobs")
+    events = table(spark, sf_dir, "events")
+    events.repartition(2).write.parquet(f"{folder}/in")
+    changes = views.job_events(spark, sf_dir, spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+    _drain(changes.writeStream.foreachBatch(job_streams.upsert(f"{folder}/jobs")).option("checkpointLocation", f"{folder}/offsets"))
+    return job_streams.newest(spark, f"{folder}/jobs").select("job_id", "ts", "event_id", "state", "value")
+
+
 @query(f"{_LATEST} SELECT job_id, event_id, state FROM latest WHERE state IN ('INITIALIZING', 'SYNTHESIZING') ORDER BY ts DESC, event_id DESC LIMIT 1")
 def job_active(spark, sf_dir):
     return jobs.latest_active(jobs.latest(views.job_events(spark, sf_dir))).select("job_id", "event_id", "state")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SMALL_SPLIT and df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors share: under the session's checkpoint folder, or on this machine for local masters."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="inkstream-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: documents as manuscripts, every seventh line opened by a heading."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when(i % 7 == 0, F.concat(F.lit("# Section "), (i / 7).cast("int").cast("string"), F.lit("\n\n"), x)).otherwise(x))
@@ -99,10 +113,10 @@ SIGNAL = """
 signal AS (SELECT vec_id, 24000 AS sample_rate, list_transform(embedding, lambda x: trunc(x::DOUBLE * 20000)::INT) AS samples FROM embeddings)"""
 
 
-def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V5: events as changes of job states."""
+def job_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """V5: events as changes of job states; of the table, or of a stream of its rows."""
     state = F.create_map(*[F.lit(x) for x in ("signup", "INITIALIZING", "view", "SYNTHESIZING", "click", "SYNTHESIZING", "purchase", "COMPLETE", "error", "ERROR")])
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", F.element_at(state, F.col("event_type")).alias("state"), "value")
+    return (table(spark, sf_dir, "events") if events is None else events).select(F.col("user_id").alias("job_id"), "ts", "event_id", F.element_at(state, F.col("event_type")).alias("state"), "value")
 
 
 JOB_EVENTS = """

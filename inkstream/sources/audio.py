@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from inkstream.fixed import SAMPLE_RATE
 from inkstream.functions.dsp import analyze_pcm, decode_wav
@@ -17,7 +18,7 @@ def from_wav_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", decode_wav("content").alias("w")).select("path", "w.rate", "w.pcm")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def decode_container(data: pd.Series) -> pd.Series:
     """Samples at 24 kHz as bytes, of any container that ffmpeg reads; null for what can't be decoded."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream.operators.jobs import latest
@@ -27,6 +27,12 @@ def upsert(path: str):
     return write
 
 
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The table of jobs after the last batch folded into it."""
+    versions = spark.read.parquet(path)  # the version is a partition column
+    return versions.where(F.col("v") == versions.agg(F.max("v")).first()[0]).drop("v")
+
+
 def progress(done: DataFrame, totals: DataFrame) -> DataFrame:
     """Percent of chunks done by document, from a stream of finished chunks and a static table of totals."""
     counted = done.groupBy("doc_id").agg(F.count("*").alias("done"))

@@ -7,7 +7,7 @@ import pytest
 from inkstream.plans import queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PYTHON = {"attributed_dialogue", "character_profiles", "cast_voices", "locked_cast", "cast_conflicts", "partner_voices", "delivered_voices", "wav_round_trip", "speech_spectrum", "synthesized_audio", "html_prose", "rendered_marks", "flagship"}
+PYTHON = {"attributed_dialogue", "character_profiles", "cast_voices", "locked_cast", "cast_conflicts", "partner_voices", "attributed_stream", "delivered_voices", "wav_round_trip", "speech_spectrum", "synthesized_audio", "html_prose", "rendered_marks", "flagship"}
 
 
 @pytest.fixture(scope="module")
