@@ -61,6 +61,20 @@ def test_splitting_needs_no_shuffle(spark, data):
         assert "Exchange" not in queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString(), name
 
 
+def test_small_files_are_spread(spark, tmp_path):
+    """One row group is dealt over the cores; an input with a partition for each core, or a large one, is read as it lies."""
+    from inkstream.plans import views
+
+    spark.range(1000).coalesce(1).write.parquet(f"file://{tmp_path}/one")
+    df = spark.read.parquet(f"file://{tmp_path}/one")
+    cores = spark.sparkContext.defaultParallelism
+    assert df.rdd.getNumPartitions() == 1 and views.spread(df).rdd.getNumPartitions() == cores and views.spread(df).count() == 1000
+    many = spark.range(1000).repartition(cores)
+    assert views.spread(many) is many
+    large = spark.range(1 << 40).coalesce(1)
+    assert views.spread(large) is large
+
+
 def test_entry_survives_without_training_operators(tmp_path):
     """The entry imports when the optional parts are gone."""
     import os
