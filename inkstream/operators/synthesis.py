@@ -16,6 +16,7 @@ from inkstream.functions.dsp import ms_to_samples, trim
 from inkstream.operators.engines import Engine
 
 AUDIO = "key string, pcm binary, n_samples int, error string"
+LENGTHS = "key string, n_spoken int, n_samples int, error string"
 HELD_BYTES = 16 << 20  # of sound that a worker holds before handing it on
 
 
@@ -45,34 +46,57 @@ def missing(work: DataFrame, cache: DataFrame) -> DataFrame:
     return work.join(cache.where(F.length("pcm") > 0).select("key"), "key", "left_anti")
 
 
-def speak(chunks: DataFrame, engine: Engine, cache: DataFrame | None = None, partitions: int | None = None, done: Accumulator | None = None) -> DataFrame:
-    """New rows for the cache: ``key, pcm, n_samples`` (after trimming), ``error``; each distinct sound is made once. Failures become silence with the error told. ``done`` counts the sounds of finished tasks."""
+def distinct_sounds(chunks: DataFrame, engine: Engine, cache: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+    """What is to be spoken: one row for each sound that the cache lacks."""
     work = chunks.where(~is_silent()).withColumn("key", cache_key(engine.name)).select("key", "text", "chunk_type", "character", "voice", "ssml_rate", "ssml_pitch", "pause_after_ms")
     work = work.groupBy("key").agg(*[F.first(c).alias(c) for c in work.columns if c not in ("key", "pause_after_ms")], F.max("pause_after_ms").alias("pause_after_ms"))
     if cache is not None:
         work = missing(work, cache)
     # rows are few and each is costly, so they must not be merged into a few tasks by their size in bytes
     spark = chunks.sparkSession
-    work = work.repartition(partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key")
+    return work.repartition(partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key")
+
+
+def spoken(engine: Engine, row: dict) -> tuple[np.ndarray, str | None]:
+    """The sound of a row, or silence and what went wrong: a chunk that can't be spoken must not stop the rest."""
+    try:
+        return np.asarray(engine.speak(row), "<i2"), None
+    except Exception as e:
+        return np.zeros(int(max(500, row["pause_after_ms"]) / 1000.0 * SAMPLE_RATE), "<i2"), str(e)
+
+
+def speak(chunks: DataFrame, engine: Engine, cache: DataFrame | None = None, partitions: int | None = None, done: Accumulator | None = None) -> DataFrame:
+    """New rows for the cache: ``key, pcm, n_samples`` (after trimming), ``error``; each distinct sound is made once. Failures become silence with the error told. ``done`` counts the sounds of finished tasks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made, held = [], 0
             for row in pdf.to_dict("records"):
-                try:
-                    pcm, error = np.asarray(engine.speak(row), "<i2").tobytes(), None
-                except Exception as e:  # a chunk that can't be spoken must not stop the rest
-                    pcm, error = bytes(2 * int(max(500, row["pause_after_ms"]) / 1000.0 * SAMPLE_RATE)), str(e)
-                made.append((row["key"], pcm, len(trim(np.frombuffer(pcm, "<i2"))), error))
+                sound, error = spoken(engine, row)
+                made.append((row["key"], sound.tobytes(), len(trim(sound)), error))
                 if done is not None:
                     done.add(1)
-                held += len(pcm)
+                held += sound.nbytes
                 if held >= HELD_BYTES:  # a batch of texts can be gigabytes of sound
                     yield pd.DataFrame(made, columns=["key", "pcm", "n_samples", "error"])
                     made, held = [], 0
             yield pd.DataFrame(made, columns=["key", "pcm", "n_samples", "error"])
 
-    return work.mapInPandas(run, AUDIO)
+    return distinct_sounds(chunks, engine, cache, partitions).mapInPandas(run, AUDIO)
+
+
+def measure(chunks: DataFrame, engine: Engine, partitions: int | None = None) -> DataFrame:
+    """As ``speak``, for those who need no audio: ``key, n_spoken`` (samples made), ``n_samples`` (after trimming), ``error``. Every sound is made in full and measured by the worker, and no audio leaves it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = []
+            for row in pdf.to_dict("records"):
+                sound, error = spoken(engine, row)
+                made.append((row["key"], len(sound), len(trim(sound)), error))
+            yield pd.DataFrame(made, columns=["key", "n_spoken", "n_samples", "error"])
+
+    return distinct_sounds(chunks, engine, None, partitions).mapInPandas(run, LENGTHS)
 
 
 def held(cache: DataFrame) -> DataFrame:

@@ -830,7 +830,7 @@ def job_status(spark, sf_dir):
 def rendered_marks(spark, sf_dir):
     """Scripts attributed, cast, spoken by the synthetic engine, trimmed, crossfaded and marked."""
     documents = manuscripts.from_table(views.script(spark, sf_dir), "doc_id", "raw_text")
-    return Pipeline(Config(backend="mock")).render(documents).marks
+    return Pipeline(Config(backend="mock")).time(documents).marks
 
 
 _ANALYSED = f"{sql.chunked('script')},{sql.PLACED},{sql.SPEAKERS}"

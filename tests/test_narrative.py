@@ -522,3 +522,56 @@ def test_native_and_numpy_snapping_agree(spark):
     rows = [(int(rng.integers(-5, 60)), rng.integers(-9, 9, rng.integers(0, 50)).tolist()) for _ in range(200)]
     got = spark.createDataFrame(rows, "t int, s array<smallint>").select("t", "s", dsp.nearest_crossing(F.col("s"), F.col("t"), 7).alias("at")).collect()
     assert all(r["at"] == dsp.snap(np.array(r.s, np.int16), r.t, 7) for r in got)
+
+
+def plain_sound(n, hz, rate=24_000, attack=480, decay=720):
+    """The synthetic engine's sound as its definition has it, sample by sample."""
+    i = np.arange(n)
+    wave = sum(share * np.sin(2 * np.pi * k * hz * (i / rate)) for k, share in ((1, 0.60), (2, 0.25), (3, 0.15)))
+    gain = np.where(i < attack, i / attack, np.where(i > n - decay, (n - i) / decay, 1.0))
+    return np.clip(np.trunc(wave * gain * 8000), -32767, 32767).astype(np.int16)
+
+
+def test_sounds_share_what_they_have_in_common(monkeypatch):
+    """Sounds of a voice differ in length and decay only; the tone before that is made once, however many there are."""
+    made, sin = [], np.sin
+    monkeypatch.setattr(np, "sin", lambda x: made.append(x.size) or sin(x))
+    sounds = [engines.MockEngine().speak({"text": "word " * k, "chunk_type": "dialogue", "character": "Puck"}) for k in range(1, 301)]
+    assert sum(made) < 0.1 * 3 * sum(map(len, sounds))
+    monkeypatch.undo()
+    assert all(np.array_equal(x, plain_sound(len(x), 160.0 * 1.15)) for x in sounds)
+
+
+@pytest.mark.parametrize("n", [240, 479, 480, 481, 719, 720, 721, 1199, 1200, 1201, 4095, 4096, 4097, 4816, 9000, 12_288, 30_000])
+def test_sounds_of_any_length(n, monkeypatch):
+    """Shorter than their fades, within and beyond what is kept of a tone."""
+    monkeypatch.setattr(engines.Tone, "BLOCK", 1024)
+    monkeypatch.setattr(engines.Tone, "MOST", 4096)
+    engines.tone.cache_clear()
+    e = engines.MockEngine(words_per_second=24_000 / n)
+    for _ in range(2):
+        assert np.array_equal(e.speak({"text": "one", "chunk_type": "narration"}), plain_sound(n, 150.0))
+    engines.tone.cache_clear()
+
+
+def test_trimming_reads_the_ends():
+    """The bounds are those of all loud samples, wherever they are."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n, amplitude = int(rng.integers(0, 9000)), int(rng.choice([2, 150, 200, 32_768]))
+        x = rng.integers(-amplitude, amplitude, n).astype(np.int16)
+        x[: rng.integers(0, n + 1)] //= 300
+        x[rng.integers(0, n + 1) :] //= 300
+        loud = np.flatnonzero(np.abs(x.astype(int)) > 150)
+        want = x[dsp.snap(x, max(0, loud[0] - 360)) : dsp.snap(x, min(n, loud[-1] + 361))] if len(loud) else x[:0]
+        assert np.array_equal(dsp.trim(x), want)
+
+
+def test_measured_sounds_are_those_spoken(spark):
+    p = Pipeline(Config(backend="mock"))
+    documents = docs(spark, STORY).withColumns({"title": F.lit("T"), "author": F.lit("A")})
+    r = p.analyse(documents)
+    for e in (engines.engine("mock"), engines.engine("openai")):  # the second one fails
+        spoken = synthesis.speak(r.delivered, e).select("key", (F.length("pcm") / 2).cast("int"), "n_samples", "error").collect()
+        assert sorted(map(tuple, synthesis.measure(r.delivered, e).collect()), key=lambda x: x[0]) == sorted(map(tuple, spoken), key=lambda x: x[0])
+    assert sorted(p.time(documents).marks.collect()) == sorted(p.render(documents).marks.collect())

@@ -56,6 +56,13 @@ def test_scans_read_what_they_need(spark, data):
     assert "label" not in plan
 
 
+@pytest.mark.parametrize("name", ["rendered_marks"])
+def test_lengths_need_no_audio(spark, data, name):
+    """Audio is thousands of times its text, so it must not leave the workers where only lengths are wanted."""
+    plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "pcm" not in plan
+
+
 def test_splitting_needs_no_shuffle(spark, data):
     for name in ("split_chapters", "chunk_prose", "clean_prose", "html_blocks"):
         assert "Exchange" not in queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString(), name
