@@ -595,8 +595,8 @@ def cache_anti(spark, sf_dir):
 
 @query(f"{_DELIVERED} SELECT DISTINCT key, greatest(240, trunc(greatest(1, {sql.word_count('text')})::DOUBLE / 3.2::DOUBLE * 24000)::BIGINT) AS n_samples, NULL::VARCHAR AS error FROM keyed WHERE text <> ''")
 def synthesized_audio(spark, sf_dir):
-    sounds = synthesis.speak(delivered(spark, sf_dir), engines.engine("mock"))
-    return sounds.select("key", (F.length("pcm") / 2).cast("long").alias("n_samples"), "error")
+    sounds = synthesis.measure(delivered(spark, sf_dir), engines.engine("mock"))
+    return sounds.select("key", F.col("n_spoken").cast("long").alias("n_samples"), "error")
 
 
 # --- timelines ---------------------------------------------------------------------------------

@@ -56,7 +56,7 @@ def test_scans_read_what_they_need(spark, data):
     assert "label" not in plan
 
 
-@pytest.mark.parametrize("name", ["rendered_marks"])
+@pytest.mark.parametrize("name", ["rendered_marks", "synthesized_audio"])
 def test_lengths_need_no_audio(spark, data, name):
     """Audio is thousands of times its text, so it must not leave the workers where only lengths are wanted."""
     plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
