@@ -542,6 +542,16 @@ def test_sounds_share_what_they_have_in_common(monkeypatch):
     assert all(np.array_equal(x, plain_sound(len(x), 160.0 * 1.15)) for x in sounds)
 
 
+def test_sounds_of_a_length_share_their_decay(monkeypatch):
+    e, row = engines.MockEngine(), {"text": "word " * 17, "chunk_type": "narration", "character": "Aoede"}
+    first, made, sin = e.speak(row), [], np.sin
+    monkeypatch.setattr(np, "sin", lambda x: made.append(x.size) or sin(x))
+    first[:] = 0  # a sound is its caller's own
+    assert np.array_equal(e.speak(row), e.speak(row)) and e.speak(row).any() and not made
+    monkeypatch.undo()
+    assert np.array_equal(e.speak(row), plain_sound(len(first), 230.0))
+
+
 @pytest.mark.parametrize("n", [240, 479, 480, 481, 719, 720, 721, 1199, 1200, 1201, 4095, 4096, 4097, 4816, 9000, 12_288, 30_000])
 def test_sounds_of_any_length(n, monkeypatch):
     """Shorter than their fades, within and beyond what is kept of a tone."""
